@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seqlake.llm.common import WHITE, col, cut, fresh, nothing
 
@@ -74,10 +75,9 @@ def decide(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least:
 
 def _with_ordinals(docs: DataFrame, contents: DataFrame, shared: DataFrame) -> DataFrame:
     """``docs`` with the ordinals of those chunks whose identifier stands for several contents, in order of place."""
-    order = contents.join(shared, "name", "left_semi")
-    smaller = order.select("name", F.col("piece").alias("other"))
-    # the ordinal of a content is the number of smaller contents of its identifier
-    order = cut(order.join(smaller, (order["name"] == smaller["name"]) & (smaller["other"] < order["piece"]), "left").groupBy(order["name"], order["piece"]).agg(F.count("other").cast("int").alias("ordinal")))
+    # few contents share an identifier with another, and few share the same one
+    place = Window.partitionBy("name").orderBy("piece")
+    order = cut(contents.join(shared, "name", "left_semi").withColumn("ordinal", F.row_number().over(place)))
     placed = docs.select("norm", F.posexplode("pieces").alias("place", "piece"), "recipe").select("norm", "place", "piece", F.element_at("recipe", F.col("place") + 1).alias("name")).distinct()
     found = placed.join(order, ["name", "piece"]).groupBy("norm").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "ordinal"))), lambda x: x["ordinal"]).alias("ordinals"))
     return docs.join(found, "norm", "left").withColumn("ordinals", F.coalesce("ordinals", F.array().cast("array<int>")))
