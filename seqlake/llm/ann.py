@@ -49,10 +49,12 @@ class Index:
             codes[:, k] = _nearest(rest[:, k * width : (k + 1) * width], self.books[k])
         return lists, codes
 
-    def probe(self, q: np.ndarray) -> np.ndarray:
-        """The lists whose centroids have the largest inner product with each query."""
+    def probe(self, q: np.ndarray, sizes: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each query the lists whose centroids have the largest inner product with it: ``probes``, and as many more
+        as it takes to hold ``k`` candidates and the query itself (``sizes`` has the candidates of each list)."""
         order = np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")
-        return order[:, : self.probes]
+        enough = (np.cumsum(sizes[order], axis=1) <= k).sum(axis=1) + 1
+        return [row[: max(self.probes, n)] for row, n in zip(order, enough.tolist())]
 
 
 def _nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -136,13 +138,18 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
 
     placed = cut(entries.mapInArrow(place, "list long, ids array<long>, code binary, raw binary"))
 
+    sizes = np.zeros(len(index.centroids), np.int64)
+    for r in placed.groupBy("list").agg(F.sum(F.size("ids")).alias("n")).collect():  # 4096 lists at most
+        sizes[r["list"]] = r["n"]
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            lists = shared.value.probe(v)
-            each = lists.shape[1]
-            raw = np.repeat(np.arange(len(v)), each)
-            yield pa.RecordBatch.from_arrays([pa.array(lists.ravel()), batch.column(0).take(pa.array(raw)), pa.array([r.tobytes() for r in v], pa.binary()).take(pa.array(raw))], names=["list", "query_id", "raw"])
+            if not len(v):
+                continue
+            lists = shared.value.probe(v, sizes, k)
+            each = pa.array(np.repeat(np.arange(len(v)), [len(x) for x in lists]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), batch.column(0).take(each), pa.array([r.tobytes() for r in v], pa.binary()).take(each)], names=["list", "query_id", "raw"])
 
     asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(ask, "list long, query_id long, raw binary")
 

@@ -32,8 +32,10 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-#: Runs that the battery tests, and the least and most symbols it reads of one.
+#: Runs that the battery tests.
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
+#: Symbols, padding apart, that the battery needs.
+SHORTEST = 16
 #: Alphabets by encoding; URL forms of base 64 are read with + and /.
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 #: Chance that two letters of running text are the same; uniform alphabets have one in their size.
@@ -81,7 +83,7 @@ def battery(runs: DataFrame) -> DataFrame:
     z_flat says how much flatter than text the run is; z_even, z_runs and z_serial how far from random.
     """
     body = F.translate(F.regexp_replace("held", "=+$", ""), "-_", "+/")
-    got = runs.withColumn("body", body).withColumn("n", F.char_length(F.col("body")))
+    got = runs.withColumn("body", body).withColumn("n", F.char_length(F.col("body"))).where(F.col("n") >= SHORTEST)
     kind = F.when(F.col("body").rlike("^[0-9a-f]+$"), "hex").when(F.col("body").rlike("^[0-9A-F]+$"), "hex").when(F.col("body").rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
     got = got.withColumn("encoding", kind).withColumn("body", F.when((F.col("encoding") == "hex"), F.lower("body")).otherwise(F.col("body")))
     choose = lambda f: F.when(F.col("encoding") == "hex", f("hex")).when(F.col("encoding") == "base32", f("base32")).otherwise(f("base64"))
