@@ -6,7 +6,7 @@ products (asymmetric distances), and the best of each block are scored again fro
 precision. Equal vectors are one entry that carries its smallest ids, so a vector that a third of the rows share costs
 as much as any other. Lists are dealt in blocks of bounded size, queries in blocks as well.
 
-Centroids and codebooks are fitted on a bounded sample of ``sample`` vectors (those whose hashed id comes first). The
+Centroids and codebooks are fitted on a sample of about ``sample`` vectors, chosen by hashed id, of at most twice as many. The
 number of lists probed is calibrated on that sample: the fewest that cover ``coverage`` of the sample's own exact
 neighbours. Every row is indexed.
 
@@ -115,20 +115,23 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     ensure_checkpoint_dir(spark)
     doubles = F.transform(col(df, vector_col), lambda v: v.cast("double"))
     rows = df.select(col(df, id_col).cast("long").alias("vec_id"), doubles.alias("v")).where(F.col("vec_id").isNotNull() & _clean(F.col("v")))
-    # at most ``sample`` rows reach the driver; each task keeps that many at most
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
     schema = "query_id long, rank int, vec_id long, score double"
+    n = rows.count()
+    # about ``sample`` rows reach the driver, at most twice as many
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 32)) < int(min(1.0, sample / max(n, 1)) * (1 << 32))
+    drawn = sorted((r["vec_id"], r["v"]) for r in rows.where(part).limit(2 * sample).collect())
+    if not drawn and n:
+        drawn = [(r["vec_id"], r["v"]) for r in rows.limit(1).collect()]
     if not drawn:
         return spark.createDataFrame([], schema)
-    dim = len(drawn[0]["v"])
-    x = np.array([r["v"] for r in drawn if len(r["v"]) == dim])
-    rows = rows.where(F.size("v") == dim).distinct()
-    index = fit(x, rows.count(), k=k, coverage=coverage)
+    dim = len(drawn[0][1])
+    rows = rows.where(F.size("v") == dim)
+    index = fit(np.array([v for _, v in drawn if len(v) == dim]), n, k=k, coverage=coverage)
     shared = spark.sparkContext.broadcast(index)  # bounded: 4096 centroids and 256 codes for each subspace
 
     # equal vectors become one entry with its k + 1 smallest ids, enough for every query
     least = Window.partitionBy("v").orderBy("vec_id")
-    entries = rows.withColumn("n", F.row_number().over(least)).where(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    entries = rows.withColumn("n", F.dense_rank().over(least)).where(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_set("vec_id")).alias("ids"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,7 +154,7 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
             each = pa.array(np.repeat(np.arange(len(v)), [len(x) for x in lists]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), batch.column(0).take(each), pa.array([r.tobytes() for r in v], pa.binary()).take(each)], names=["list", "query_id", "raw"])
 
-    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v").mapInArrow(ask, "list long, query_id long, raw binary")
+    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v").distinct().mapInArrow(ask, "list long, query_id long, raw binary")
 
     def blocks(frame: DataFrame, salt: Column, size: int) -> DataFrame:
         """``frame`` with a block number by which each list falls into blocks of about ``size`` rows."""

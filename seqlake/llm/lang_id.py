@@ -7,7 +7,7 @@ the confidence, and a small lead flags the text as ambiguous. Up to 7 languages
 columns drawn from a seed.
 
 The classifiers are fitted on a bounded sample: ``per_lang`` rows of each language (those whose hashed id comes first),
-of at most ``max_langs`` languages; more languages raise ValueError. Features of these rows are computed on the
+MOST_ROWS in all, of at most ``max_langs`` languages; more languages raise ValueError. Features of these rows are computed on the
 executors, at most BUCKETS counts each; the driver sees nothing else of the corpus.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, not ambiguous; with no labelled row every
@@ -32,6 +32,8 @@ from seqlake.llm.common import col
 #: Hashed n-gram counts of a text; each order has its own seed.
 BUCKETS = 1 << 13
 ORDERS = (1, 2, 3)
+#: Training rows of all languages together; with many languages each gets fewer.
+MOST_ROWS = 3072
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}").search
 
@@ -99,38 +101,43 @@ def held_out(id_column: Column) -> Column:
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300, max_langs: int = 256, ridge: float = 0.3, ambiguous: float = 0.02) -> Model | None:
     """A model from the labelled rows of ``df`` that ``held_out`` does not name; None if there are none."""
-    rows = df.select(col(df, id_col).alias("id"), col(df, text_col).alias("text"), col(df, lang_col).cast("string").alias("lang")).where("lang is not null and text is not null").where(~held_out(F.col("id")))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("id").cast("string")), "id")
-    # a rank limit is applied within each task before anything moves, on ids and hashes alone
-    chosen = rows.select("id", "lang").where("id is not null").withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang)
-    sizes = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()}
+    rows = df.select(col(df, id_col).alias("id"), col(df, text_col).alias("text"), col(df, lang_col).cast("string").alias("lang")).where("lang is not null and id is not null").where(~held_out(F.col("id")))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()}
     if len(sizes) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     if not sizes:
         return None
+    per_lang = min(per_lang, max(1, MOST_ROWS // len(sizes)))
+    # hashes below twice the share that is wanted, so that a handful of rows is ranked however many there are
+    place = F.xxhash64(F.col("id").cast("string"))
+    bound = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(2**63 - 1, int(2**64 * 2 * per_lang / n) - 2**63)))])
+    first = Window.partitionBy("lang").orderBy(place, "id")
+    near = rows.select("id", "lang").where(place <= F.element_at(bound, F.col("lang")))
+    ids = near.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang).select("id", "lang")
+    sampled = rows.join(F.broadcast(ids), ["id", "lang"]).limit(2 * MOST_ROWS)  # MOST_ROWS ids at most; repeated ids fall under the limit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                counts = features(text.as_py())
+                counts = features(text.as_py() or "")
                 at = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([at.astype("<u2").tobytes()]), pa.array([counts[at].astype("<f4").tobytes()])], names=["lang", "places", "values"])
 
-    ids = chosen.select("id", "lang").distinct()
-    sampled = rows.join(F.broadcast(ids), ["id", "lang"])  # at most per_lang x max_langs ids
     got = sampled.select("lang", "text").mapInArrow(run, "lang string, places binary, values binary").collect()
-    got = sorted(got, key=lambda r: (r["lang"], bytes(r["places"]), bytes(r["values"])))
+    got = sorted((r for r in got if r["places"]), key=lambda r: (r["lang"], bytes(r["places"]), bytes(r["values"])))
+    if not got:
+        return None
     langs = sorted({r["lang"] for r in got})
     x = np.zeros((len(got), BUCKETS), np.float32)
     for k, r in enumerate(got):
         x[k, np.frombuffer(r["places"], "<u2")] = np.frombuffer(r["values"], "<f4")
     code = codewords(len(langs))
     y = code[[langs.index(r["lang"]) for r in got]]
-    gram = x.astype(np.float64) @ x.T.astype(np.float64)
+    gram = (x @ x.T).astype(np.float64)
     dual = np.linalg.solve(gram + ridge * np.eye(len(got)), y)
     fitted = np.clip(gram @ dual, -1, 1)
     trust = np.maximum(1e-3, 1 - np.maximum(0, 1 - fitted * y).mean(axis=0))
-    return Model(langs, code, x.T.astype(np.float64) @ dual, trust / trust.sum(), ambiguous)
+    return Model(langs, code, (x.T @ dual.astype(np.float32)).astype(np.float64), trust / trust.sum(), ambiguous)
 
 
 def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
