@@ -6,6 +6,7 @@ a stage repeats (documents that the mixture reads for a second epoch) are repeat
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from seqlake.llm import byte_bpe, exact_dedup, lang_id, mixing, simhash
 from seqlake.llm.common import ensure_checkpoint_dir, table
 from seqlake.llm.pretokens import UNIT_PATTERN
 from seqlake.llm.queries import WEIGHTS, domain, vocabulary
+from seqlake.store import Files
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +58,13 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written in the shared folder and read again by the next."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{spark.sparkContext.applicationId}-{abs(hash((sf_dir, id(docs))))}"
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    files = Files(spark, folder)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.mode("overwrite").parquet(f"{folder}/{k}-{name}")
+            docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if k:
+                files.remove(f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
