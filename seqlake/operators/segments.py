@@ -64,6 +64,17 @@ def bloom_filters(log: DataFrame) -> DataFrame:
     return _positions(keyed).select("file_no", "position").distinct()
 
 
+def bloom_packed(log: DataFrame) -> DataFrame:
+    """file_no, hashes, bits, packed: each filter as bytes, the least significant bit first."""
+    params = bloom_params(log)
+    held = bloom_filters(log).groupBy("file_no", F.expr("position div 8").alias("byte")).agg(F.sum(F.expr("shiftleft(1, cast(position % 8 as int))")).alias("value"))
+    every = params.select("file_no", "hashes", "bits", F.explode(F.expr("sequence(0L, (bits + 7) div 8 - 1)")).alias("byte"))
+    digits = F.lpad(F.hex(F.coalesce("value", F.lit(0))), 2, "0")
+    rows = every.join(held, ["file_no", "byte"], "left").select("file_no", "hashes", "bits", "byte", digits.alias("digits"))
+    packed = F.transform(F.array_sort(F.collect_list(F.struct("byte", "digits"))), lambda b: b["digits"])
+    return rows.groupBy("file_no", "hashes", "bits").agg(F.unhex(F.array_join(packed, "")).alias("packed"))
+
+
 def bloom_probe(log: DataFrame, keys: DataFrame) -> DataFrame:
     """file_no, key, may_contain for each of ``keys`` and each segment."""
     params = bloom_params(log)

@@ -274,6 +274,18 @@ def bloom_probe(spark: SparkSession, sf: str) -> DataFrame:
     return segments.bloom_probe(fx.kv_events(spark, sf), keys)
 
 
+@register(
+    f"""WITH {EVENTS}, {_BLOOM.format(log='events_log')},
+bits AS (SELECT DISTINCT file_no, {_POSITION} AS position FROM (SELECT DISTINCT file_no, key FROM events_log) JOIN params USING (file_no), range(30) r(i) WHERE i < hashes),
+held AS (SELECT file_no, position // 8 AS byte, sum(1 << (position % 8)::INT)::BIGINT AS v FROM bits GROUP BY 1, 2),
+every AS (SELECT file_no, hashes, bits, unnest(range((bits + 7) // 8)) AS byte FROM params)
+SELECT file_no, hashes, bits, md5(string_agg(printf('%02X', coalesce(v, 0)), '' ORDER BY byte)) AS packed_md5 FROM every LEFT JOIN held USING (file_no, byte) GROUP BY file_no, hashes, bits"""
+)
+def bloom_packed(spark: SparkSession, sf: str) -> DataFrame:
+    packed = segments.bloom_packed(fx.kv_events(spark, sf))
+    return packed.select("file_no", "hashes", "bits", F.md5(F.hex("packed").cast("binary")).alias("packed_md5"))
+
+
 # levels
 
 

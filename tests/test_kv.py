@@ -155,6 +155,27 @@ def test_store_is_a_dictionary(spark, tmp_path):
     assert again.maintain() >= 0 and pairs(again.scan("", "zz")) == model
 
 
+def test_shell_cache_and_rebuild(spark, tmp_path):
+    from seqlake.shell import run
+
+    store = Store(spark, str(tmp_path / "s"), SMALL)
+    said = list(run(store, ["put a 1", "get a", "begin", "begin", "put b 2", "get b", "flush", "commit", "del a", "save", "get a", "get b", "scan a z", "scan x z", "what", "compact", "stats", "quit", "get b"]))
+    assert said[:13] == ["ok", "1", "ok", "refused: a batch is open", "ok", "not found", "refused: a batch is open", "ok", "ok", "ok", "not found", "2 (from segment)", "b:2"]
+    assert said[13] == "no keys in this range" and said[14].startswith("put KEY") and said[15] == "ok" and said[16].startswith("level 0: 0 files") and said[-1] == "ok" and len(said) == 21
+    store.cache()
+    assert store.value("b") == "2"
+    store.put("c", "3")
+    store.flush()
+    store.put("b", "4")
+    assert pairs(store.scan("", "z")) == {"b": "4", "c": "3"}
+    store.uncache()
+    store.files.remove(f"{store.root}/CURRENT")
+    store.files.remove(f"{store.root}/manifests")
+    lost = Store(spark, store.root, SMALL)
+    lost.rebuild()
+    assert pairs(lost.scan("", "z")) == {"b": "4", "c": "3"}
+
+
 def test_streams(spark, tmp_path):
     from seqlake.streaming.ingest import into_store, live_view
 
@@ -186,6 +207,7 @@ def test_binary_formats(spark, tmp_path):
     rows = spark.read.format("kvlog").load(str(tmp_path / "wal.log")).orderBy("seq").collect()
     assert [(r["seq"], r["batch_id"], r["op"], bytes(r["key"]), r["value"] and bytes(r["value"])) for r in rows] == [(0, None, "put", b"a", b"1"), (1, 0, "put", b"b", b"\xff\x00"), (2, 0, "del", b"a", None)]
     assert [r[3] for r in binary.decode_log(bytes([2]) + binary.encode_op("put", b"x", b"") + bytes([2]) + binary.encode_op("put", b"y", b"") + bytes([3]))] == [b"y"]
+    assert binary.valid_bytes(good + bytes(torn)) == len(good) and binary.valid_bytes(good[:-1]) == len(binary.encode_op("put", b"a", b"1"))
     assert list(binary.decode_log(good[:5])) == [] and list(binary.decode_log(b"")) == []
 
     (tmp_path / "seg").mkdir()
@@ -195,6 +217,8 @@ def test_binary_formats(spark, tmp_path):
     assert [(r["file_no"], bytes(r["key"]), r["is_tombstone"], r["offset"]) for r in rows] == [(7, b"a", True, 0), (7, b"b", False, 6), (7, b"c", False, 16)]
     frame = spark.createDataFrame([(0, None, "put", "b", "", 7), (1, None, "del", "a", None, 7), (2, None, "put", "c", "33", 7)], LOG)
     assert segments.file_sizes(frame).first()["file_size"] == len(content)
+    (tmp_path / "seg/12.sst").write_bytes(binary.encode_segment([(b"b", None), (b"a", b"new")]))
+    assert pairs(reads.live(binary.as_log(spark.read.format("kvsegment").load(str(tmp_path / "seg"))))) == {"a": "new", "c": "33"}
     with pytest.raises(ValueError):
         list(binary.decode_segment(b"short"))
 
