@@ -2,8 +2,8 @@
 
 Coarse centroids (k-means) split the vectors into lists; within a list each vector is a code of its residual, one byte
 for each subspace. A query probes the lists of the best centroids, scores their codes from its own tables of partial
-products (asymmetric distances), and the best of each block are scored again from the original vectors in double
-precision. Equal vectors are one entry that carries its smallest ids, so a vector that a third of the rows share costs
+products (asymmetric distances), and the best of each block, with all that are within the quantisation error of them,
+are scored again from the original vectors in double precision. Equal vectors are one entry that carries its smallest ids, so a vector that a third of the rows share costs
 as much as any other. Lists are dealt in blocks of bounded size, queries in blocks as well.
 
 Centroids and codebooks are fitted on a sample of about ``sample`` vectors, chosen by hashed id, of at most twice as many. The
@@ -19,7 +19,7 @@ result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ from seqlake.llm.common import col, cut, ensure_checkpoint_dir
 
 #: Entries and queries that meet in one block.
 ENTRIES, QUERIES = 2048, 512
+#: Standard deviations of the quantisation error within which candidates are scored again.
+MARGIN = 3.0
 
 
 @dataclass(frozen=True)
@@ -38,6 +40,7 @@ class Index:
     centroids: np.ndarray  # lists x dim
     books: np.ndarray  # subspaces x 256 x width
     probes: int
+    spread: float  # standard deviation of a product's error for a query of length one
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """List and residual codes of each row."""
@@ -77,7 +80,7 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
     return centers
 
 
-def fit(x: np.ndarray, rows: int, subspaces: int = 16, k: int = 20, coverage: float = 0.97, seed: int = 3) -> Index:
+def fit(x: np.ndarray, rows: int, subspaces: int = 16, k: int = 20, coverage: float = 0.98, seed: int = 3) -> Index:
     """An index for ``rows`` vectors, from the sample ``x``."""
     rng = np.random.default_rng(seed)
     lists = int(np.clip(round(np.sqrt(rows) / 4), 1, min(4096, max(1, len(x) // 4))))
@@ -96,7 +99,10 @@ def fit(x: np.ndarray, rows: int, subspaces: int = 16, k: int = 20, coverage: fl
     depth = np.argsort(np.argsort(-(asked @ centroids.T), axis=1, kind="stable"), axis=1)
     at = np.take_along_axis(depth, near[best], axis=1).ravel()
     probes = int(np.quantile(at, coverage)) + 1 if len(at) else lists
-    return Index(centroids, books, min(lists, probes))
+    index = Index(centroids, books, min(lists, probes), 0.0)
+    _, codes = index.assign(x)
+    error = rest - np.concatenate([books[j][codes[:, j]] for j in range(m)], axis=1)
+    return replace(index, spread=float(np.sqrt((error**2).mean())))
 
 
 def _clean(vector: Column) -> Column:
@@ -109,7 +115,7 @@ def _pack(frame: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     return frame.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("members"))
 
 
-def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, sample: int = 8192, rerank: int = 64, coverage: float = 0.97) -> DataFrame:
+def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, every: int = 20, sample: int = 8192, rerank: int = 64, coverage: float = 0.98) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest of each row whose id is divisible by ``every``."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -181,7 +187,13 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
                 for at in range(len(q)):
                     tables = np.einsum("jcw,jw->jc", fitted.books, q[at].reshape(m, width))
                     near = q[at] @ here + sum(tables[j][codes[:, j]] for j in range(m))
-                    few = np.argpartition(-near, rerank - 1)[:rerank] if len(near) > rerank else np.arange(len(near))
+                    if len(near) > rerank:
+                        best = np.partition(near, (-rerank, -k - 1))
+                        # all that quantisation may have put below the best ones, however many vectors look alike
+                        least = min(best[-rerank], best[-k - 1] - MARGIN * fitted.spread * np.linalg.norm(q[at]))
+                        few = np.flatnonzero(near >= least)
+                    else:
+                        few = np.arange(len(near))
                     exact = (x[few] * q[at]).sum(axis=1)
                     order = np.argsort(-exact, kind="stable")
                     if len(order) > k + 1:  # entries that tie with the last one come along
