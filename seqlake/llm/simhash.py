@@ -30,6 +30,8 @@ _LANES = np.uint64(0x0101010101010101)
 SEED = 42
 #: Buckets up to this size are compared within; larger ones are cut again.
 BUCKET = 128
+#: Fingerprints whose variants one task makes.
+SPREAD = 1 << 14
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -135,7 +137,8 @@ def links(fps: DataFrame, most: int = 3, bucket: int = BUCKET) -> DataFrame:
     rows = fps.select("fp", F.array().cast("array<bigint>").alias("path"), F.lit(0).alias("shift"), F.lit(64).alias("width"))
     out = None
     while True:
-        keyed = _variants(rows)
+        # each row becomes up to 66: small tables are spread over tasks by what they grow to, not by what they are
+        keyed = _variants(rows.repartition(min(20_000, rows.count() // SPREAD + 1), "fp"))
         counts = keyed.groupBy("path", "key").agg(F.count(F.lit(1)).alias("n"), F.min("bit").alias("low"), F.max("bit").alias("high"))
         # members of a wildcard key that all have the same bit there are equal in the segment, whose own key holds them
         live = cut(counts.where("n > 1 and (low is null or low < high)").select("path", "key", "n"))
