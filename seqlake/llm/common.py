@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,11 @@ def col(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once: an expression used inside a lambda would be computed at each call."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def nothing(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqlake.llm.common import col, cut
+from seqlake.llm.common import col, cut, let
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -53,14 +53,17 @@ def _found(text: Column, pattern: str, group: int = 0) -> Column:
     gaps = F.split(text, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,held:string>>").alias("out"))
 
-    def step(acc: Column, k: Column) -> Column:
-        begin = acc["at"] + F.char_length(F.element_at(gaps, k))
-        end = begin + F.char_length(F.element_at(whole, k))
-        span = F.struct(begin.alias("start"), end.alias("end"), F.element_at(held, k).alias("held"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def spans(m: Column) -> Column:
+        def step(acc: Column, k: Column) -> Column:
+            begin = acc["at"] + F.char_length(F.element_at(m["gaps"], k))
+            end = begin + F.char_length(F.element_at(m["whole"], k))
+            span = F.struct(begin.alias("start"), end.alias("end"), F.element_at(m["held"], k).alias("held"))
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    places = F.when(F.size(whole) > 0, F.sequence(F.lit(1), F.size(whole))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, start, step, lambda acc: acc["out"])
+        places = F.when(F.size(m["whole"]) > 0, F.sequence(F.lit(1), F.size(m["whole"]))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, start, step, lambda acc: acc["out"])
+
+    return let(F.struct(whole.alias("whole"), held.alias("held"), gaps.alias("gaps")), spans)
 
 
 def _spans(text: Column, kind: str) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqlake.llm.common import col, cut
+from seqlake.llm.common import col, cut, let
 
 #: Every other character is the last one of these.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789./-_:?=&%#~*"
@@ -68,8 +68,12 @@ def codes(url: Column) -> Column:
 def _grams(code: Column) -> Column:
     """Of each place: the code of the character with the two before it (the URL's start counts as the last character)."""
     ahead = F.concat(F.array(F.lit(SIZE - 1), F.lit(SIZE - 1)), code)
-    places = F.when(F.size(code) > 0, F.sequence(F.lit(1), F.size(code))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.element_at(ahead, i) * SIZE * SIZE + F.element_at(ahead, i + 1) * SIZE + F.element_at(ahead, i + 2))
+
+    def grams(ahead: Column) -> Column:
+        places = F.when(F.size(ahead) > 2, F.sequence(F.lit(1), F.size(ahead) - 2)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.element_at(ahead, i) * SIZE * SIZE + F.element_at(ahead, i + 1) * SIZE + F.element_at(ahead, i + 2))
+
+    return let(ahead, grams)
 
 
 def difference(labelled: DataFrame) -> DataFrame:
