@@ -27,7 +27,7 @@ from seqlake.llm.pretokens import UNIT_PATTERN, Memory, byte_characters, split_a
 #: Distinct units of text (of up to LONG characters) that a worker remembers.
 REMEMBERED, LONG = 400_000, 64
 #: The piece for unknown characters; no token can look like it, as the byte characters end at U+01FF.
-UNKNOWN = "�"
+UNKNOWN = "\ufffd"
 
 
 def read_ranks(content: bytes) -> dict[bytes, int]:

@@ -11,7 +11,7 @@ import regex
 #: The pattern that `units` relies on, by value: white space never follows anything else inside a match.
 UNIT_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The characters with the Unicode property White_Space.
-_SPACES = "\t-\r \x85\xa0  -     　"
+_SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUNS = re.compile(f"([{_SPACES}]{{2,}})")
 
 
