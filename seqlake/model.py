@@ -41,6 +41,8 @@ MIB = 1 << 20
 class Limits:
     """Sizes that steer writing and maintenance."""
 
+    # fixed values: limits of the store whose behaviour this one has
+
     levels: tuple[int, ...] = (8 * MIB, 32 * MIB, 256 * MIB, 1024 * MIB)
     default_level: int = 64 * MIB
     flush_entries: int = 100_000
