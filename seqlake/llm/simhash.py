@@ -127,6 +127,11 @@ def _variants(rows: DataFrame) -> DataFrame:
     )
 
 
+def _spread(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, about ``n``, dealt to tasks by what they grow to: each becomes up to 66 variants."""
+    return rows.repartition(min(20_000, n // SPREAD + 1), "fp")
+
+
 def links(fps: DataFrame, most: int = 3, bucket: int = BUCKET) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp, long), enough of them to join every component.
 
@@ -137,8 +142,7 @@ def links(fps: DataFrame, most: int = 3, bucket: int = BUCKET) -> DataFrame:
     rows = fps.select("fp", F.array().cast("array<bigint>").alias("path"), F.lit(0).alias("shift"), F.lit(64).alias("width"))
     out = None
     while True:
-        # each row becomes up to 66: small tables are spread over tasks by what they grow to, not by what they are
-        keyed = _variants(rows.repartition(min(20_000, rows.count() // SPREAD + 1), "fp"))
+        keyed = _variants(rows)
         counts = keyed.groupBy("path", "key").agg(F.count(F.lit(1)).alias("n"), F.min("bit").alias("low"), F.max("bit").alias("high"))
         # members of a wildcard key that all have the same bit there are equal in the segment, whose own key holds them
         live = cut(counts.where("n > 1 and (low is null or low < high)").select("path", "key", "n"))
@@ -150,7 +154,8 @@ def links(fps: DataFrame, most: int = 3, bucket: int = BUCKET) -> DataFrame:
         large = live.where(F.col("n") > bucket)
         if last or nothing(large):
             return out
-        rows = cut(keyed.join(large, ["path", "key"]).select("fp", F.concat("path", F.array("key")).alias("path"), "shift", "width"))
+        again = keyed.join(large, ["path", "key"]).select("fp", F.concat("path", F.array("key")).alias("path"), "shift", "width")
+        rows = cut(_spread(again, large.agg(F.sum("n")).first()[0]))
 
 
 def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3, bucket: int = BUCKET) -> DataFrame:
@@ -161,7 +166,7 @@ def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
 
 def cluster_fingerprints(docs: DataFrame, most: int = 3, bucket: int = BUCKET) -> DataFrame:
     """``cluster`` for given (doc_id, fp)."""
-    distinct = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    distinct = cut(_spread(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), docs.count()))
     roots = connected_components(links(distinct, most, bucket))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size")).where("component_size > 1")
