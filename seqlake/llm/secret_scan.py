@@ -5,12 +5,15 @@ takes each run of 20 or more key characters, infers its encoding (hexadecimal, b
 tests the sequence of its symbol values:
 
 * chi-squared against the uniform alphabet, read from both sides: how much flatter the run is than text would be at that
-  length gives its p-value, and a run too uneven for its alphabet is no key;
+  length gives the p-value of base 64, and a run too uneven for its alphabet is no key;
+* hexadecimal text and base-32 text are hardly less flat than keys, so there the p-value is the ratio of likelihoods, text
+  to uniform symbols, where text has long stretches of digits and of letters, and letters as often as languages have them
+  (by Markov's inequality a run of that model falls below any p with a chance of p at most);
 * the number of runs above and below the alphabet's middle, and the serial correlation of neighbours, both of which must
   look random.
 
-Runs are then discoveries under control of the false-discovery rate (Benjamini and Hochberg) within classes of length,
-as a short run carries less evidence. P-values are rounded up to bins, so the histogram of a class is all that comes
+Runs are then discoveries under control of the false-discovery rate (Benjamini and Hochberg) within classes of length
+and encoding, as a short run carries less evidence, and a base-16 symbol less than one of base 64. P-values are rounded up to bins, so the histogram of a class is all that comes
 together, and the rate holds.
 
 Everything is SQL functions. Positions come from the lengths of matches and of what lies between them.
@@ -22,6 +25,8 @@ empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,6 +45,10 @@ SHORTEST = 16
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 #: Chance that two letters of running text are the same; uniform alphabets have one in their size.
 COINCIDENCE = 0.066
+#: How often letters stand in 1,000 of running text, roughly, over English, French, German and Spanish.
+LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (85, 14, 32, 46, 148, 13, 17, 29, 70, 5, 7, 45, 27, 74, 59, 22, 7, 66, 71, 68, 46, 13, 11, 5, 9, 6)))
+#: Chance that a digit is followed by a digit and a letter by a letter in what is no key.
+STAY = 0.9
 #: Lengths that begin a class.
 CLASSES = (20, 28, 40, 64, 128)
 #: Bins of a decade of p-values, and the last bin.
@@ -80,16 +89,30 @@ def _tagged(spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("order"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
 
+def _log_ratio(encoding: str) -> Column:
+    """Natural logarithm of how much likelier ``body`` (of length n) is as text in the alphabet than as uniform symbols."""
+    alphabet = ALPHABETS[encoding].lower()
+    letters = [c for c in alphabet if c.isalpha()]
+    total, digits = sum(LETTERS[c] for c in letters), len(alphabet) - len(letters)
+    chance = {c: LETTERS[c] / total if c in LETTERS else 1 / digits for c in alphabet}
+    symbols = F.create_map(*[x for c, p in chance.items() for x in (F.lit(c), F.lit(math.log(p * len(alphabet))))])
+    each = F.transform(F.filter(F.split(F.lower("body"), ""), lambda c: c != ""), lambda c: F.element_at(symbols, c))
+    switches = F.regexp_count("body", F.lit("[0-9]+|[A-Za-z]+")) - 1
+    return F.aggregate(each, F.lit(math.log(0.5)), lambda a, b: a + b) + switches * math.log(1 - STAY) + (F.col("n") - 1 - switches) * math.log(STAY)
+
+
 def battery(runs: DataFrame) -> DataFrame:
-    """``runs`` (column held) with encoding, n, z_flat, z_runs, z_serial: the tests' standard scores.
+    """``runs`` (column held) with encoding, n, log_ratio, z_flat, z_even, z_runs, z_serial: the tests' scores.
 
-    z_flat says how much flatter than text the run is; z_even, z_runs and z_serial how far from random.
+    z_flat says how much flatter than text the run is; z_even, z_runs and z_serial how far from random; log_ratio, of
+    hexadecimal and base-32 runs, how much likelier as text than as a key.
     """
     body = F.translate(F.regexp_replace("held", "=+$", ""), "-_", "+/")
     got = runs.withColumn("body", body).withColumn("n", F.char_length(F.col("body"))).where(F.col("n") >= SHORTEST)
     kind = F.when(F.col("body").rlike("^[0-9a-f]+$"), "hex").when(F.col("body").rlike("^[0-9A-F]+$"), "hex").when(F.col("body").rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
     got = got.withColumn("encoding", kind).withColumn("body", F.when((F.col("encoding") == "hex"), F.lower("body")).otherwise(F.col("body")))
     choose = lambda f: F.when(F.col("encoding") == "hex", f("hex")).when(F.col("encoding") == "base32", f("base32")).otherwise(f("base64"))
+    got = got.withColumn("log_ratio", F.when(F.col("encoding") == "hex", _log_ratio("hex")).when(F.col("encoding") == "base32", _log_ratio("base32")))
     got = got.withColumn("alphabet", choose(lambda e: F.lit(ALPHABETS[e]))).withColumn("k", F.char_length(F.col("alphabet")).cast("double"))
     n, k = F.col("n").cast("double"), F.col("k")
     squares = F.aggregate(F.split("alphabet", ""), F.lit(0.0), lambda acc, c: acc + F.when(c == "", 0.0).otherwise(F.pow(n - F.char_length(F.replace(F.col("body"), c, F.lit(""))), F.lit(2.0))))
@@ -116,20 +139,22 @@ def battery(runs: DataFrame) -> DataFrame:
 
 
 def discoveries(tested: DataFrame, rate: float = 0.01, odd: float = 3.3) -> DataFrame:
-    """The rows of ``battery`` that are keys: random by every test, and flatter than text at false-discovery ``rate``."""
+    """The rows of ``battery`` that are keys: random by every test, and unlike text at false-discovery ``rate``."""
     # 0.5 exp(-z^2/2) bounds the normal tail from above, so these p-values err on the safe side
-    p = F.when((F.col("z_flat") > 0) & (F.col("z_even") < odd) & (F.abs("z_runs") < odd) & (F.abs("z_serial") < odd), 0.5 * F.exp(-F.col("z_flat") * F.col("z_flat") / 2)).otherwise(1.0)
+    flat = F.when(F.col("z_flat") > 0, 0.5 * F.exp(-F.col("z_flat") * F.col("z_flat") / 2)).otherwise(1.0)
+    unlike = F.when(F.col("encoding") == "base64", flat).otherwise(F.exp(F.least(F.col("log_ratio"), F.lit(0.0))))
+    p = F.when((F.col("z_even") < odd) & (F.abs("z_runs") < odd) & (F.abs("z_serial") < odd), unlike).otherwise(1.0)
     bin_ = F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * BINS).cast("int"), F.lit(LAST))
     length = F.lit(0)
     for k, least in enumerate(CLASSES):
         length = F.when(F.col("n") >= least, k + 1).otherwise(length)
     scored = tested.withColumn("p", p).withColumn("bin", bin_).withColumn("class", length)
-    counts = scored.groupBy("class", "bin").agg(F.count(F.lit(1)).alias("here"))  # 6 x 401 rows at most
-    better = Window.partitionBy("class").orderBy(F.desc("bin"))
-    steps = counts.withColumn("upto", F.sum("here").over(better)).withColumn("all", F.sum("here").over(Window.partitionBy("class")))
+    counts = scored.groupBy("class", "encoding", "bin").agg(F.count(F.lit(1)).alias("here"))  # 18 x 401 rows at most
+    better = Window.partitionBy("class", "encoding").orderBy(F.desc("bin"))
+    steps = counts.withColumn("upto", F.sum("here").over(better)).withColumn("all", F.sum("here").over(Window.partitionBy("class", "encoding")))
     ceiling = F.pow(F.lit(10.0), -F.col("bin") / BINS)
-    passed = steps.where(ceiling * F.col("all") <= rate * F.col("upto")).groupBy("class").agg(F.min("bin").alias("cut"))
-    return scored.join(F.broadcast(passed), "class").where("bin >= cut")  # 6 rows at most
+    passed = steps.where(ceiling * F.col("all") <= rate * F.col("upto")).groupBy("class", "encoding").agg(F.min("bin").alias("cut"))
+    return scored.join(F.broadcast(passed), ["class", "encoding"]).where("bin >= cut")  # 18 rows at most
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.01) -> DataFrame:

@@ -165,6 +165,28 @@ def test_secrets(spark):
     assert secret_scan.digest(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("encoding,length,least", [("HEX", 20, 0.6), ("HEX", 32, 0.8), ("HEX", 40, 0.9), ("hex", 20, 0.6), ("hex", 23, 0.65), ("hex", 64, 0.9), ("base32", 20, 0.8), ("base32", 32, 0.9), ("base32", 52, 0.9)])
+def test_planted_keys_of_each_encoding(spark, encoding, length, least):
+    rng = random.Random(f"{encoding}{length}")
+    symbols = {"HEX": "0123456789ABCDEF", "hex": "0123456789abcdef", "base32": secret_scan.ALPHABETS["base32"]}[encoding]
+    keys = {"".join(rng.choices(symbols, k=length)) for _ in range(100)}
+    letters, weights = "ETAOINSHRDLUCMFWYGPBVKJXQZ", [127, 91, 82, 75, 70, 67, 63, 61, 60, 43, 40, 28, 28, 24, 24, 22, 20, 20, 19, 15, 10, 8, 2, 2, 1, 1]
+    plain = {"".join(rng.choices("0123456789", k=length)) for _ in range(100)} | {"".join(rng.choices(letters, weights, k=length)) for _ in range(100)}
+    plain |= {"".join(rng.choices("ABCDEF", k=length)) for _ in range(20)} | {("2024010112" * 9)[:length], ("DEADBEEF" * 9)[:length], ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567" * 2)[:length], ("0123456789abcdef" * 4)[:length]}
+    runs = spark.createDataFrame([(x,) for x in sorted(keys | plain)], "held string")
+    found = {r["held"] for r in secret_scan.discoveries(secret_scan.battery(runs)).collect()}
+    assert len(found & keys) >= least * len(keys) and len(found & plain) <= 0.02 * len(found)
+
+
+def test_short_and_upper_case_keys_are_spans(spark):
+    rng = random.Random(9)
+    keys = ["".join(rng.choices(symbols, k=n)) for symbols, n in (("0123456789ABCDEF", 40), ("0123456789abcdef", 22), (secret_scan.ALPHABETS["base32"], 32)) for _ in range(20)]
+    got = secret_scan.digest(spark.createDataFrame([(i, f"é key {k} end", "en", "s", 0) for i, k in enumerate(keys)], DOCS)).collect()
+    assert all(r["spans"] in ("", f"random:6:{6 + len(keys[r['doc_id']])}") for r in got)
+    for k in range(3):
+        assert sum(r["spans"] != "" for r in got if r["doc_id"] // 20 == k) >= 12
+
+
 # neighbours
 
 
