@@ -184,14 +184,19 @@ def cluster_fingerprints(docs: DataFrame, most: int = 3, bucket: int = BUCKET) -
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """The rows of ``df`` that stay, all columns: of each class the row whose doc_id is the smallest, once.
 
-    doc_id must tell documents apart; rows that repeat a kept doc_id are reduced to one. Null doc_ids stay only in
-    classes without other ids, as one row.
+    Null doc_ids come after all others; of one doc_id the smaller SHA-256 of the text comes first. Rows that repeat both
+    doc_id and text are one document and are reduced to one.
     """
-    kept = cut(cluster(df, id_col, text_col, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
-    key = fresh(df, "keep_id")
-    keys = kept.select(F.col("doc_id").alias(key), "n")
-    same = col(df, id_col).eqNullSafe(F.col(key))
+    sha = fresh(df, "sha")
+    hashed = df.withColumn(sha, F.unhex(F.sha2(col(df, text_col).cast("binary"), 256)))
+    # a document is named by its doc_id and text, so no two classes share a name, and the smallest name of a class is kept
+    named = hashed.select(F.struct(col(hashed, id_col).isNull().alias("last"), col(hashed, id_col).alias("id"), F.col(sha).alias("sha")).alias("name"), col(hashed, text_col).alias("text"))
+    kept = cut(cluster(named, "name", "text", **options).where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    a, b = fresh(df, "keep_id"), fresh(df, "keep_sha")
+    keys = kept.select(F.col("doc_id.id").alias(a), F.col("doc_id.sha").alias(b), "n")
+    same = col(hashed, id_col).eqNullSafe(F.col(a)) & F.col(sha).eqNullSafe(F.col(b))
     if nothing(kept.where("n > 1")):
-        return df.join(keys, same, "left_semi")
-    once = df.join(keys.where("n = 1"), same, "left_semi")
-    return once.unionByName(df.join(keys.where("n > 1"), same, "left_semi").dropDuplicates([id_col]))
+        return hashed.join(keys, same, "left_semi").drop(sha)
+    once = hashed.join(keys.where("n = 1"), same, "left_semi")
+    several = hashed.join(keys.where("n > 1"), same, "left_semi").dropDuplicates([id_col, sha])
+    return once.unionByName(several).drop(sha)

@@ -141,6 +141,18 @@ def test_simhash_edges(spark):
     assert alone.count() == 1
 
 
+def test_near_dedup_keeps_unlike_texts_of_null_and_repeated_ids(spark):
+    one, two, three, four = ("alpha beta gamma delta epsilon", "one quite unlike text about ships", "a third that speaks of mountain goats", "the last has nothing in common either")
+    rows = [(None, one), (None, two), (None, three), (None, one.upper()), (7, one), (7, two), (7, three), (7, three), (3, three), (9, four), (9, four), (9, two)]
+    kept = simhash.near_dedup(frame(spark, [t for _, t in rows], [i for i, _ in rows]))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(7, one), (7, two), (3, three), (9, four)])
+    alone = simhash.near_dedup(frame(spark, [one, two, three, four, one.upper(), None, ""], [None] * 7))
+    assert sorted((r["text"] or "").lower() for r in alone.collect()) == sorted(["", one, two, three, four])
+    # a repeated id whose other row goes, as a smaller id has its text
+    shared = simhash.near_dedup(frame(spark, [one, one, two], [1, 2, 2]))
+    assert sorted((r["doc_id"], r["text"]) for r in shared.collect()) == [(1, one), (2, two)]
+
+
 # BPE
 
 
