@@ -41,6 +41,10 @@ def _weights(columns: tuple[str, ...], weights: Mapping[tuple[str, ...], int] |
     return F.coalesce(F.element_at(F.create_map(*pairs), F.concat_ws("\x1f", *columns)), F.lit(1)).cast(_WHOLE)
 
 
+def _name(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit("unknown"))
+
+
 def deal(nodes: DataFrame, parent: tuple[str, ...], budget: str, capacity: str, weight: str, out: str) -> DataFrame:
     """``nodes`` with the share ``out`` of the parent's ``budget``: by weight, never over capacity.
 
@@ -88,8 +92,7 @@ def mix(
     df: DataFrame, domain: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", total: int | None = None, epochs: int = 2, seed: int = 42, weights: Mapping[tuple[str, ...], int] | None = None
 ) -> DataFrame:
     """One row for each row of ``df``: doc_id, domain, lang, source, n_tokens, budget (its leaf's) and copies (0 to epochs)."""
-    name = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))
-    docs = df.select(col(df, id_col).alias("doc_id"), name(domain).alias("domain"), name(col(df, lang_col)).alias("lang"), name(col(df, source_col)).alias("source"), words(col(df, text_col)).cast("long").alias("n_tokens"))
+    docs = df.select(col(df, id_col).alias("doc_id"), _name(domain).alias("domain"), _name(col(df, lang_col)).alias("lang"), _name(col(df, source_col)).alias("source"), words(col(df, text_col)).cast("long").alias("n_tokens"))
     docs = cut(docs)  # small columns only; texts are read and counted once
     leaves = docs.groupBy(*LEVELS).agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))
     plan = cut(budgets(leaves, total, epochs, weights))
@@ -112,10 +115,15 @@ def mix(
     return both.select("doc_id", *LEVELS, "n_tokens", "budget", (F.col("whole") + F.col("more")).cast("long").alias("copies"))
 
 
-def take(df: DataFrame, domain: Column, id_col: str = "doc_id", **options: object) -> DataFrame:
-    """The rows of ``df``, all columns, each as often as ``mix`` says. doc_id must tell documents apart."""
-    chosen = cut(mix(df, domain, id_col, **options).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")))
+def take(df: DataFrame, domain: Column, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", **options: object) -> DataFrame:
+    """The rows of ``df``, all columns, each as often as ``mix`` says: rows of one id and leaf have the same copies."""
+    chosen = mix(df, domain, id_col, lang_col=lang_col, source_col=source_col, **options).where("copies > 0")
+    chosen = cut(chosen.groupBy("doc_id", *LEVELS).agg(F.max("copies").alias("copies")))
     key, copies, copy = fresh(df, "mix_id"), fresh(df, "mix_copies"), fresh(df, "mix_copy")
-    chosen = chosen.select(F.col("doc_id").alias(key), F.col("copies").alias(copies))
-    joined = df.join(chosen, col(df, id_col).eqNullSafe(F.col(key)))
-    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).drop(key, copies, copy)
+    leaf = {level: fresh(df, f"mix_{level}") for level in LEVELS}
+    chosen = chosen.select(F.col("doc_id").alias(key), *[F.col(level).alias(name) for level, name in leaf.items()], F.col("copies").alias(copies))
+    same = col(df, id_col).eqNullSafe(F.col(key))
+    for c, name in zip((domain, col(df, lang_col), col(df, source_col)), leaf.values()):
+        same &= _name(c) == F.col(name)
+    joined = df.join(chosen, same)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).drop(key, *leaf.values(), copies, copy)

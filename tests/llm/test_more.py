@@ -90,6 +90,19 @@ def test_a_leaf_takes_its_token_prefix(spark):
     assert taken.columns == frame.columns and taken.count() > 0
 
 
+def test_take_keeps_leaves_apart(spark):
+    rng = random.Random(3)
+    docs = [(rng.choice([None, None, *range(40)]), " ".join("w" * rng.randrange(1, 30)), rng.choice(["en", "fr", None]), rng.choice(["src1", "src12", "src17", None]), 0) for _ in range(600)]
+    frame = spark.createDataFrame(docs, DOCS).withColumn("__mix_lang", F.lit(1))
+    options = {"total": 12000, "seed": 11, "weights": {("web",): 20}}
+    want = Counter()
+    for r in mixing.mix(frame, queries.domain(), **options).collect():
+        want[r["doc_id"], r["lang"], r["source"], r["n_tokens"]] += r["copies"]
+    got = mixing.take(frame, queries.domain(), **options)
+    assert got.columns == frame.columns
+    assert Counter((r["doc_id"], r["lang"] or "unknown", r["source"] or "unknown", len(r["text"].split())) for r in got.collect()) == +want
+
+
 # chat
 
 
