@@ -171,6 +171,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``df`` whose text has a language, all columns: rows that are ``und`` go, ambiguous ones stay.
 
+    Without a labelled row to learn from, no language can be told, and only rows without a letter go.
     The prediction travels with the row, so nothing is shuffled and repeated or null ids do no harm.
     """
     model = fit(df, id_col, text_col, lang_col)
@@ -184,12 +185,12 @@ def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             keep = []
             for at in range(0, batch.num_rows, 256):
                 texts = [t.as_py() for t in batch.column(place).slice(at, 256)]
-                known = [k for k, t in enumerate(texts) if fitted and t and _LETTER(t)]
-                lang = [UNKNOWN] * len(texts)
+                lettered = [bool(t and _LETTER(t)) for t in texts]
+                known = [k for k, x in enumerate(lettered) if x and fitted]
                 if known:
                     for k, b in zip(known, fitted.decode(np.stack([features(texts[k]) for k in known]))[0].tolist()):
-                        lang[k] = fitted.langs[b]
-                keep += [x != UNKNOWN for x in lang]
+                        lettered[k] = fitted.langs[b] != UNKNOWN
+                keep += lettered
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

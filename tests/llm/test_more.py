@@ -338,6 +338,15 @@ def test_language_edges(spark):
     assert lang_id.fit(many) is not None
 
 
+def test_no_labels_keep_all_that_has_a_letter(spark):
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 == 2]
+    texts = ["Hello the world", None, "", "123 !!", "été"]
+    for ids, lang in ((range(10), None), (held[:10], "en")):
+        frame = spark.createDataFrame([(i, texts[k % 5], lang, "s", 0) for k, i in enumerate(ids)], DOCS)
+        assert lang_id.fit(frame) is None
+        assert sorted(r["text"] for r in lang_id.keep_identified(frame).collect()) == ["Hello the world"] * 2 + ["été"] * 2
+
+
 @pytest.mark.parametrize("k", [2, 4, 7, 8, 60])
 def test_codewords_differ(k):
     code = lang_id.codewords(k)
