@@ -195,6 +195,27 @@ def wal_crc32(spark: SparkSession, sf: str) -> DataFrame:
     return wal.checksums(deletes).select("key", "crc")
 
 
+@register(
+    f"""WITH {EVENTS}, {DOCS}, tbl AS (
+  SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+), records AS (
+  SELECT 'events' AS log, seq, op, key, CASE WHEN op = 'put' THEN coalesce(value, '') ELSE '' END AS held FROM events_log
+  UNION ALL SELECT 'documents', seq, op, key, CASE WHEN op = 'put' THEN coalesce(value, '') ELSE '' END FROM docs_log
+), hexed AS (
+  SELECT log, seq, op, key, hex(encode(key)) AS k, strlen(key) AS kn, hex(encode(held)) AS v, strlen(held) AS vn FROM records
+), b AS (
+  SELECT log, seq, op, key, list_concat(
+    [CASE WHEN op = 'put' THEN 0 ELSE 1 END::BIGINT], [(kn >> s) & 255 for s in [0, 8, 16, 24]], list_transform(range(0, kn), lambda i: ('0x' || substr(k, 2 * i + 1, 2))::BIGINT),
+    [(vn >> s) & 255 for s in [0, 8, 16, 24]], list_transform(range(0, vn), lambda i: ('0x' || substr(v, 2 * i + 1, 2))::BIGINT)) AS bytes FROM hexed
+)
+SELECT log, seq, op, key, xor(list_reduce(list_concat([4294967295::BIGINT], bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM b, tbl"""
+)
+def wal_log_crc32(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record of both logs, puts with their values; ``wal_crc32`` has each key of one log once, as a delete."""
+    logs = [wal.checksums(log(spark, sf)).select(F.lit(name).alias("log"), "seq", "op", "key", "crc") for name, log in (("events", fx.kv_events), ("documents", fx.kv_docs))]
+    return logs[0].unionByName(logs[1])
+
+
 @register(f"WITH {EVENTS} SELECT seq, op, key, value FROM events_log WHERE seq < (SELECT max(seq) * 3 // 4 FROM events_log)")
 def wal_valid_prefix(spark: SparkSession, sf: str) -> DataFrame:
     log = fx.kv_events(spark, sf)

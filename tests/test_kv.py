@@ -229,3 +229,19 @@ def test_binary_formats(spark, tmp_path):
     assert (row["level"], row["filename"], row["version"]) == (0, "7.sst", 7)
     with pytest.raises(ValueError):
         list(binary.decode_manifest(manifest[:-3]))
+
+
+def test_every_record_of_the_logs_has_a_checksum(spark):
+    import zlib
+
+    from seqlake.plans.queries import queries
+    from seqlake.sources import fixtures as fx
+
+    sf, sized = "/root/testdata/sf0.001", lambda b: len(b).to_bytes(4, "little") + b
+    want = {}
+    for name, log in (("events", fx.kv_events(spark, sf)), ("documents", fx.kv_docs(spark, sf))):
+        for r in log.collect():
+            put = r["op"] == "put"
+            want[name, r["seq"]] = zlib.crc32((b"\0" if put else b"\1") + sized(r["key"].encode()) + sized((r["value"] or "").encode() if put else b""))
+    got = queries()["wal_log_crc32"](spark, sf).collect()
+    assert len(got) == len(want) == 1200 and {(r["log"], r["seq"]): r["crc"] for r in got} == want
