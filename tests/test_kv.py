@@ -245,3 +245,19 @@ def test_every_record_of_the_logs_has_a_checksum(spark):
             want[name, r["seq"]] = zlib.crc32((b"\0" if put else b"\1") + sized(r["key"].encode()) + sized((r["value"] or "").encode() if put else b""))
     got = queries()["wal_log_crc32"](spark, sf).collect()
     assert len(got) == len(want) == 1200 and {(r["log"], r["seq"]): r["crc"] for r in got} == want
+
+
+def test_maintain_goes_on_until_levels_fit(spark, tmp_path, monkeypatch):
+    from types import SimpleNamespace
+
+    store = Store(spark, str(tmp_path / "m"), SMALL)
+    files = [SimpleNamespace(level=0, version=i, first_key=f"k{i:03d}", last_key=f"k{i:03d}", file_size=store.limits.level(0)) for i in range(150)]
+    store.snapshot = SimpleNamespace(segments=files)
+
+    def merge(group, level):
+        for s in group:
+            s.level, s.file_size = level, 0
+
+    monkeypatch.setattr(store, "_merge", merge)
+    assert store.maintain(most=10) == 10
+    assert store.maintain() == 139 and sum(s.level == 0 for s in files) == 1
