@@ -6,13 +6,15 @@ bit's hinge loss weighted by how well its classifier did on its training rows; t
 the confidence, and a small lead flags the text as ambiguous. Up to 7 languages have the exhaustive code, more have
 columns drawn from a seed.
 
-The classifiers are fitted on a bounded sample: ``per_lang`` rows of each language (those whose hashed id comes first),
-MOST_ROWS in all, of at most ``max_langs`` languages; more languages raise ValueError. Features of these rows are computed on the
-executors, at most BUCKETS counts each; the driver sees nothing else of the corpus.
+The classifiers are fitted on a bounded sample: ``per_lang`` texts of each language (those whose hashed id comes first),
+MOST_ROWS in all, of the ``max_langs`` languages with the most labelled rows; where there are more languages, the others
+(by name where they tie) are not learned and no text is predicted to be in them. Features of these rows are computed on
+the executors, at most BUCKETS counts each; the driver sees nothing else of the corpus.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, not ambiguous; with no labelled row every
 text is ``und``; a single learned language gets every text with a letter, with score 1; whole texts count, however
-long; rows may repeat; an empty table gives an empty result; only the id, text and (for training rows) lang are read.
+long; rows may repeat, and a repeated row is learned from once; an empty table gives an empty result; only the id, text
+and (for training rows) lang are read.
 """
 
 from __future__ import annotations
@@ -35,7 +37,13 @@ ORDERS = (1, 2, 3)
 #: Training rows of all languages together; with many languages each gets fewer.
 MOST_ROWS = 3072
 UNKNOWN = "und"
+#: Loss of the nearest codeword above which no learned language is near (at 1 no classifier says anything), and the
+#: letters that a text must have for that: fewer are no evidence.
+FAR, EVIDENCE = 0.85, 20
+#: Lead from which a prediction overrules the language that a row names.
+SURE = 0.25
 _LETTER = regex.compile(r"\p{L}").search
+_LETTERS = regex.compile(r"\p{L}+").findall
 
 
 def features(text: str) -> np.ndarray:
@@ -82,16 +90,16 @@ class Model:
     trust: np.ndarray  # of each bit; they add up to one
     ambiguous: float  # leads below this are flagged
 
-    def decode(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The best language of each row of features, and its lead over the second, 0 to 1."""
-        if len(self.langs) == 1:
-            return np.zeros(len(rows), int), np.ones(len(rows))
+    def decode(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The best language of each row of features, its lead over the second (0 to 1), and its loss (0 to 2)."""
         bits = np.clip(rows @ self.weights, -1, 1)
-        # hinge loss of each codeword, 0 to 2
+        # hinge loss of each codeword
         loss = (np.maximum(0, 1 - bits[:, None, :] * self.code[None]) * self.trust).sum(axis=2)
+        if len(self.langs) == 1:
+            return np.zeros(len(rows), int), np.ones(len(rows)), loss[:, 0]
         best = loss.argmin(axis=1)
         two = np.partition(loss, 1, axis=1)
-        return best, np.clip((two[:, 1] - two[:, 0]) / np.maximum(two[:, 1] + two[:, 0], 1e-12), 0, 1)
+        return best, np.clip((two[:, 1] - two[:, 0]) / np.maximum(two[:, 1] + two[:, 0], 1e-12), 0, 1), two[:, 0]
 
 
 def held_out(id_column: Column) -> Column:
@@ -102,19 +110,18 @@ def held_out(id_column: Column) -> Column:
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300, max_langs: int = 256, ridge: float = 0.3, ambiguous: float = 0.02) -> Model | None:
     """A model from the labelled rows of ``df`` that ``held_out`` does not name; None if there are none."""
     rows = df.select(col(df, id_col).alias("id"), col(df, text_col).alias("text"), col(df, lang_col).cast("string").alias("lang")).where("lang is not null and id is not null").where(~held_out(F.col("id")))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()}
-    if len(sizes) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    sizes = {r["lang"]: r["n"] for r in counts}
     if not sizes:
         return None
     per_lang = min(per_lang, max(1, MOST_ROWS // len(sizes)))
     # hashes below twice the share that is wanted, so that a handful of rows is ranked however many there are
-    place = F.xxhash64(F.col("id").cast("string"))
+    rows = rows.withColumn("place", F.xxhash64(F.col("id").cast("string")))
     bound = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(2**63 - 1, int(2**64 * 2 * per_lang / n) - 2**63)))])
-    first = Window.partitionBy("lang").orderBy(place, "id")
-    near = rows.select("id", "lang").where(place <= F.element_at(bound, F.col("lang")))
-    ids = near.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang).select("id", "lang")
-    sampled = rows.join(F.broadcast(ids), ["id", "lang"]).limit(2 * MOST_ROWS)  # MOST_ROWS ids at most; repeated ids fall under the limit
+    near = rows.where(F.col("place") <= F.try_element_at(bound, F.col("lang"))).withColumn("sum", F.xxhash64("text"))
+    first = Window.partitionBy("lang").orderBy("place", "id", "sum")
+    names = near.select("lang", "place", "id", "sum").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_lang).drop("n", "place")
+    sampled = near.join(F.broadcast(names), ["lang", "id", "sum"]).groupBy("lang", "id", "sum").agg(F.min("text").alias("text"))  # MOST_ROWS rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +163,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 known = [k for k, t in enumerate(texts) if fitted and t and _LETTER(t)]
                 lang, score, flag = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
                 if known:
-                    best, lead = fitted.decode(np.stack([features(texts[k]) for k in known]))
+                    best, lead, _ = fitted.decode(np.stack([features(texts[k]) for k in known]))
                     for k, b, s in zip(known, best.tolist(), lead.tolist()):
                         lang[k], score[k], flag[k] = fitted.langs[b], s, s < fitted.ambiguous
                 langs += lang
@@ -169,28 +176,37 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
 
 
 def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``df`` whose text has a language, all columns: rows that are ``und`` go, ambiguous ones stay.
+    """The rows of ``df`` whose text is in a learned language, all columns, with that language in ``lang_col`` (a string).
 
-    Without a labelled row to learn from, no language can be told, and only rows without a letter go.
-    The prediction travels with the row, so nothing is shuffled and repeated or null ids do no harm.
+    A row goes if its text has no letter, if its language is predicted to be ``und``, or if it has EVIDENCE letters and
+    the nearest codeword is FAR: then it is in no learned language. A prediction takes the place of a null language, and of another
+    one if its lead is SURE. Without a labelled row to learn from, no language can be told: only rows without a letter
+    go, and languages stay. The prediction travels with the row, so nothing is shuffled and repeated or null ids do no
+    harm.
     """
     model = fit(df, id_col, text_col, lang_col)
-    names = df.columns
-    place = names.index(text_col)
+    at_text, at_lang = df.columns.index(text_col), df.columns.index(lang_col)
+    source = df.select(*[col(df, c).cast("string").alias(c) if c == lang_col else col(df, c) for c in df.columns])
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
-            keep = []
+            keep: list[bool] = []
+            langs = batch.column(at_lang).to_pylist()
             for at in range(0, batch.num_rows, 256):
-                texts = [t.as_py() for t in batch.column(place).slice(at, 256)]
-                lettered = [bool(t and _LETTER(t)) for t in texts]
-                known = [k for k, x in enumerate(lettered) if x and fitted]
+                texts = [t.as_py() for t in batch.column(at_text).slice(at, 256)]
+                stay = [bool(t and _LETTER(t)) for t in texts]
+                known = [k for k, x in enumerate(stay) if x and fitted]
                 if known:
-                    for k, b in zip(known, fitted.decode(np.stack([features(texts[k]) for k in known]))[0].tolist()):
-                        lettered[k] = fitted.langs[b] != UNKNOWN
-                keep += lettered
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return df.mapInArrow(run, df.schema)
+                    for k, b, lead, loss in zip(known, *map(np.ndarray.tolist, fitted.decode(np.stack([features(texts[k]) for k in known])))):
+                        foreign = loss > FAR and sum(map(len, _LETTERS(texts[k]))) >= EVIDENCE
+                        stay[k] = fitted.langs[b] != UNKNOWN and not foreign
+                        if langs[at + k] is None or lead >= SURE:
+                            langs[at + k] = fitted.langs[b]
+                keep += stay
+            columns = batch.columns
+            columns[at_lang] = pa.array(langs, batch.column(at_lang).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+
+    return source.mapInArrow(run, source.schema)

@@ -332,10 +332,87 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in lang_id.predict(alone, lang_id.fit(alone)).collect()} == {"en", "und"}
     kept = lang_id.keep_identified(frame)
     assert kept.columns == frame.columns and kept.count() == 20
-    many = spark.createDataFrame([(i, "a b c", f"l{i}", "s", 0) for i in range(40)], DOCS)
-    with pytest.raises(ValueError):
-        lang_id.fit(many, max_langs=5)
-    assert lang_id.fit(many) is not None
+    many = spark.createDataFrame([(i, "a b c", f"l{i:02d}", "s", 0) for i in range(40)] + [(i, "d e f", "zz", "s", 0) for i in range(40, 60)], DOCS)
+    few = lang_id.fit(many, max_langs=5)
+    trained = sorted(i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2)
+    assert few.langs == [*(f"l{i:02d}" for i in trained[:4]), "zz"]
+    assert len(lang_id.fit(many).langs) == len(trained) + 1
+    # repeated ids and rows: each (language, id, text) is learned from once, whatever their order
+    again = frame.union(frame).union(frame.withColumn("text", F.concat("text", F.lit("!"))))
+    one, two = lang_id.fit(again), lang_id.fit(again.repartition(3).orderBy(F.rand(5)))
+    assert np.array_equal(one.weights, two.weights) and np.array_equal(one.trust, two.trust)
+
+
+def predicted_by_hand(rows):
+    """Language and lead of each (doc_id, text, lang), by loops; all labelled rows are learned from."""
+
+    def grams(text):
+        points, counts = [ord(c) for c in text.lower()], Counter()
+        for order in (1, 2, 3):
+            for at in range(len(points) - order + 1):
+                code = order
+                for k in range(order):
+                    code = code * 0x9E3779B1 % 2**32 ^ points[at + k]
+                counts[(code * 0x85EBCA77 % 2**32) >> 19] += 1
+        norm = math.sqrt(sum(counts.values())) or 1
+        return {k: math.sqrt(n) / norm for k, n in counts.items()}
+
+    dot = lambda a, b: sum(v * b.get(k, 0) for k, v in a.items())
+    train = sorted({(la, i, t) for i, t, la in rows if la and t and zlib.crc32(str(i).encode()) % 4 != 2})
+    langs = sorted({la for la, _, _ in train})
+    code = [[1 if k == 0 or mask >> (k - 1) & 1 else -1 for mask in range(2 ** (len(langs) - 1) - 1)] for k in range(len(langs))]
+    x = [grams(t) for _, _, t in train]
+    y = np.array([code[langs.index(la)] for la, _, _ in train], float)
+    gram = np.array([[dot(a, b) for b in x] for a in x])
+    dual = np.linalg.inv(gram + 0.3 * np.eye(len(x))) @ y
+    hinge = lambda score, sign: max(0, 1 - max(-1, min(1, score)) * sign)
+    trust = [max(1e-3, 1 - sum(hinge(s, t) for s, t in zip(gram @ dual[:, b], y[:, b])) / len(x)) for b in range(y.shape[1])]
+    out = {}
+    for i, t, _ in rows:
+        if not t or not any(c.isalpha() for c in t):
+            out[i] = ("und", 0.0)
+            continue
+        g = grams(t)
+        bits = [sum(dot(g, a) * d for a, d in zip(x, dual[:, b])) for b in range(y.shape[1])]
+        losses = [sum(hinge(s, sign) * w for s, sign, w in zip(bits, word, trust)) / sum(trust) for word in code]
+        best, second = sorted(losses)[:2]
+        out[i] = (langs[losses.index(best)], (second - best) / (second + best))
+    return out
+
+
+def test_languages_are_brute_force(spark):
+    docs = [(r["doc_id"], r["text"][:400], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(48).collect()]
+    docs += [(100, None, "en"), (101, "", None), (102, "12 3!", "fr"), (103, "Ünïcödé und so weiter", None), (104, "q", None), (105, "\U0001f600 日本語", None)]
+    frame = spark.createDataFrame([(i, t, la, "s", 0) for i, t, la in docs], DOCS)
+    want = predicted_by_hand(docs)
+    for r in lang_id.predict(frame, lang_id.fit(frame)).collect():
+        lang, lead = want[r["doc_id"]]
+        assert r["lang_pred"] == lang and abs(r["score"] - lead) < 1e-4, r
+
+
+def test_the_language_stage_decides_by_prediction(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    words = {la: [r["text"] for r in docs.where(F.col("lang") == la).where("n_chars > 300").orderBy("doc_id").limit(8).collect()] for la in ("en", "fr", "de", "es")}
+    planted, n = [], 10**6
+    for la, texts in words.items():
+        for k, t in enumerate(texts):  # named wrongly, not at all, and rightly
+            planted.append((n, t, ("fr" if la == "en" else "en", None, la)[k % 3], la))
+            n += 1
+    foreign = ["这是一个关于语言识别的测试文本，我们希望它被拒绝。" * 2, "Это предложение написано на русском языке и должно быть отклонено." * 2, "Αυτό είναι ένα κείμενο στα ελληνικά που δεν έχει μάθει"]
+    gone = [(n + k, t, la, None) for k, (t, la) in enumerate([*((t, None) for t in foreign), ("1234 !!", "en"), ("", None), (None, "de")])]
+    held = next(i for i in range(n + 60, n + 200) if zlib.crc32(str(i).encode()) % 4 == 2)  # it names a language, but isn't learned from
+    gone.append((held, foreign[0], "en", None))
+    short = [(n + 50, "яб", "en", "en"), (n + 51, "A.", "de", "de")]
+    frame = docs.unionByName(spark.createDataFrame([(i, t, la, "s", 0) for i, t, la, _ in planted + gone + short], DOCS))
+    got = {r["doc_id"]: r["lang"] for r in lang_id.keep_identified(frame).collect()}
+    assert {i: got[i] for i, *_ in planted + short} == {i: la for i, _, _, la in planted + short}
+    assert not {i for i, *_ in gone} & got.keys()
+    letters = {r["doc_id"]: r["lang"] for r in docs.where(r"text rlike '\\p{L}'").collect()}
+    assert letters.keys() <= got.keys() and sum(got[i] == la for i, la in letters.items()) > 0.99 * len(letters)
+    # with the classifier blocked the planted rows come through as they are named
+    monkeypatch.setattr(lang_id, "fit", lambda *a, **b: None)
+    blind = {r["doc_id"]: r["lang"] for r in lang_id.keep_identified(frame).collect()}
+    assert blind.keys() - got.keys() == {i for i, *_ in [*gone[:3], gone[-1]]} and all(blind[i] == la for i, _, la, _ in planted)
 
 
 def test_no_labels_keep_all_that_has_a_letter(spark):
