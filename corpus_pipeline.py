@@ -19,7 +19,7 @@ from seqlake.store import Files
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; those without a letter go."""
+    """Documents in one of the learned languages, which their lang then names; those without a letter or in another language go."""
     return lang_id.keep_identified(docs)
 
 
