@@ -5,8 +5,13 @@ its pair of lowest rank, all sequences merge their own pair at once, at each of
 sequences without a pair drop out. The symbols that survive are the tokens. As no merge makes a pair of lower rank
 than its own (checked when the merges are read), this gives what merging one place at a time gives.
 
-Defined results: a null or empty text has 0 bytes and 0 tokens; a special string inside a text is one token; rows may
-repeat; an empty table gives an empty result; other columns are not read.
+A step looks at every symbol that is left, so a sequence of n symbols would take up to n x n. Sequences of more than SHORT
+bytes are therefore merged by a queue: places wait by the rank of their pair, the lowest rank of all comes next, its
+places merge at once in whichever sequences they are, and only the pairs beside them are looked up anew. That is the same
+order for each sequence, and takes n log n whatever the length.
+
+Defined results: a null or empty text has 0 bytes and 0 tokens; a special string inside a text is one token; a pre-token
+of any length is merged whole; rows may repeat; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 from itertools import chain, islice
 
 import numpy as np
@@ -27,6 +33,8 @@ from seqlake.llm.pretokens import UNIT_PATTERN, Memory, byte_characters, split_a
 
 #: Distinct units of text (of up to LONG characters) that a worker remembers, and symbols merged at a time.
 REMEMBERED, LONG, SYMBOLS = 400_000, 64, 1 << 18
+#: Bytes up to which pre-tokens are merged step by step; the number of steps is below it.
+SHORT = 128
 
 
 class RankMerger:
@@ -79,6 +87,77 @@ class RankMerger:
     def merge(self, pretokens: list[bytes]) -> np.ndarray:
         """How many symbols survive in each of the non-empty ``pretokens``."""
         lengths = np.fromiter(map(len, pretokens), np.int64, len(pretokens))
+        if not len(self.keys):
+            return lengths
+        counts = np.empty(len(pretokens), np.int64)
+        for where, way in ((lengths <= SHORT, self._step), (lengths > SHORT, self._queue)):
+            at = np.flatnonzero(where)
+            if len(at):
+                counts[at] = way([pretokens[k] for k in at.tolist()], lengths[at])
+        return counts
+
+    def _queue(self, pretokens: list[bytes], lengths: np.ndarray) -> np.ndarray:
+        """``merge`` by a queue of ranks; after each sequence lies one symbol that has no pair."""
+        none = len(self.keys)
+        ends = np.cumsum(lengths + 1)
+        symbols = np.empty(ends[-1], np.int64)
+        inside = np.ones(len(symbols), bool)
+        inside[ends - 1] = False
+        symbols[inside] = self.byte[np.frombuffer(b"".join(pretokens), np.uint8)]
+        symbols[~inside] = -1
+        after, before = np.arange(1, len(symbols) + 1), np.arange(-1, len(symbols) - 1)
+        ranks = self._ranks(symbols, np.append(inside[:-1] & inside[1:], False))
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            """``places`` join the queue by rank; those without a pair don't."""
+            places = places[ranks[places] < none]
+            if len(places) == 0:
+                return
+            places = places[np.argsort(ranks[places], kind="stable")]
+            own = ranks[places]
+            starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            for rank, part in zip(own[starts].tolist(), np.split(places, starts[1:])):
+                if rank not in waiting:
+                    waiting[rank] = []
+                    heappush(queue, rank)
+                waiting[rank].append(part)
+
+        wait(np.arange(len(symbols)))
+        counts = lengths.copy()
+        owner = np.repeat(np.arange(len(pretokens)), lengths + 1)
+        while queue:
+            rank = heappop(queue)
+            places = np.unique(np.concatenate(waiting.pop(rank)))
+            places = places[ranks[places] == rank]  # others have got another pair meanwhile
+            if len(places) == 0:
+                continue
+            # of overlapping places (a run of one symbol) every other one counts, from the left
+            follows = np.append(False, after[places[:-1]] == places[1:])
+            if follows.any():
+                begin = np.maximum.accumulate(np.where(follows, 0, np.arange(len(places))))
+                places = places[(np.arange(len(places)) - begin) % 2 == 0]
+            gone = after[places]
+            symbols[places] = self.out[rank]
+            ranks[gone] = none
+            after[places] = after[gone]
+            before[after[places]] = places
+            np.subtract.at(counts, owner[places], 1)
+            touched = np.concatenate((places, before[places]))
+            touched = touched[touched >= 0]
+            right = after[touched]
+            paired = (symbols[touched] >= 0) & (symbols[right] >= 0)
+            new = np.full(len(touched), none, np.int64)
+            pairs = symbols[touched[paired]] * self.base + symbols[right[paired]]
+            found = np.minimum(np.searchsorted(self.keys, pairs), none - 1)
+            new[paired] = np.where(self.keys[found] == pairs, self.rank[found], none)
+            ranks[touched] = new
+            wait(touched)
+        return counts
+
+    def _step(self, pretokens: list[bytes], lengths: np.ndarray) -> np.ndarray:
+        """``merge`` step by step over all symbols."""
         counts = lengths.copy()
         symbols = self.byte[np.frombuffer(b"".join(pretokens), np.uint8)]
         owner = np.repeat(np.arange(len(pretokens)), lengths)
@@ -87,7 +166,7 @@ class RankMerger:
             first = np.empty(len(symbols), bool)
             first[0], first[1:] = True, owner[1:] != owner[:-1]
             inner = np.append(~first[1:], False)
-            ranks = self._ranks(symbols, inner) if none else np.zeros(len(symbols), np.int64)
+            ranks = self._ranks(symbols, inner)
             starts = np.flatnonzero(first)
             sequence = np.cumsum(first) - 1
             best = np.minimum.reduceat(ranks, starts)[sequence]

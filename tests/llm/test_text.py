@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -200,3 +201,18 @@ def test_counts_are_the_library(spark, hard_texts):
         n = len(library.encode(t or "", add_special_tokens=False).ids)
         assert (got[i]["n_bytes"], got[i]["n_tokens"], got[i]["over_limit"]) == (len((t or "").encode()), n, n > 512), i
     assert token_count.count_tokens(frame(spark, []), content, UNIT_PATTERN).count() == 0
+
+
+def test_long_pretokens_are_merged_whole():
+    from tokenizers import Tokenizer
+
+    content = vocabulary("byte_bpe_50k.json").decode()
+    library, own = Tokenizer.from_str(content), token_count.RankMerger(content, UNIT_PATTERN)
+    rng = random.Random(8)
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=200_000))
+    texts = [letters, "a" * 200_001, "ab" * 70_000, "the" * 50_000 + " " + letters[:1000], "\u00e9\u65e5" * 5000, "x" * 129 + " " + "x" * 128, "".join(rng.choices("ab", k=5000)), "=" * 3000 + " " * 3000]
+    assert own.count(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    # both ways give the same whatever the length
+    parts = ["".join(rng.choices("aeiourstn", k=rng.randrange(1, 300))).encode() for _ in range(300)]
+    lengths = np.array(list(map(len, parts)))
+    assert own._queue(parts, lengths).tolist() == own._step(parts, lengths).tolist() == own.merge(parts).tolist()
