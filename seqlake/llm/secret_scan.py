@@ -2,30 +2,32 @@
 
 Rules find assignments (``assign``), access keys (``access``) and hexadecimal runs (``hex``). The battery (``random``)
 takes each run of 20 or more key characters, infers its encoding (hexadecimal, base 32, or base 64 and its URL form) and
-tests the sequence of its symbol values:
+tests the sequence of its symbol values. Each test asks how well the run would fit something that is no key:
 
-* chi-squared against the uniform alphabet, read from both sides: how much flatter the run is than text would be at that
-  length gives the p-value of base 64, and a run too uneven for its alphabet is no key;
-* hexadecimal text and base-32 text are hardly less flat than keys, so there the p-value is the ratio of likelihoods, text
-  to uniform symbols, where text has long stretches of digits and of letters, and letters as often as languages have them
-  (by Markov's inequality a run of that model falls below any p with a chance of p at most);
-* the number of runs above and below the alphabet's middle, and the serial correlation of neighbours, both of which must
-  look random.
+* chi-squared against the uniform alphabet: a run whose symbols coincide UNEVEN times as often as uniform ones do;
+* the number of runs above and below the alphabet's middle: a run that turns as rarely, or as often, as TURN says;
+* the serial correlation of neighbours: a run whose values follow one another with a correlation of SERIAL;
+* the ratio of likelihoods, text to uniform symbols, where text stays in a kind of character for long stretches and has
+  letters as often as languages have them (by Markov's inequality a run of that model falls below any p with a chance of
+  p at most).
 
-Runs are then discoveries under control of the false-discovery rate (Benjamini and Hochberg) within classes of length
-and encoding, as a short run carries less evidence, and a base-16 symbol less than one of base 64. P-values are rounded up to bins, so the histogram of a class is all that comes
-together, and the rate holds.
+A key must be unlike all of them, so the p-value of a run is the largest of the four, and holds whichever of these the
+run came from. Runs are then discoveries under control of the false-discovery rate (Benjamini and Hochberg) within
+classes of length and encoding, as a short run carries less evidence, and a base-16 symbol less than one of base 64.
+P-values are rounded up to bins, so the histogram of a class is all that comes together, and the rate holds.
 
-Everything is SQL functions. Positions come from the lengths of matches and of what lies between them.
+Everything is SQL functions. Positions come from the lengths of matches and of what lies between them, summed block by
+block, so a text with many matches takes little more than time in proportion.
 
 Defined results: null and empty texts have no spans; spans count code points, end exclusive; spans of one kind do not
 overlap, and a ``random`` span that touches a span of another kind is left out; repeated rows give repeated rows; an
-empty table gives an empty result; other columns are not read.
+empty table gives an empty result; other columns are not read. The spans of one text must fit in a row, as the text must.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +36,7 @@ from pyspark.sql.window import Window
 from seqlake.llm.common import col, cut, let
 
 KINDS = ("assign", "access", "hex", "random")
+_SPAN = "struct<start:int,end:int,held:string>"
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
@@ -43,40 +46,80 @@ RUN = r"[A-Za-z0-9+/_=-]{20,}"
 SHORTEST = 16
 #: Alphabets by encoding; URL forms of base 64 are read with + and /.
 ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
-#: Chance that two letters of running text are the same; uniform alphabets have one in their size.
-COINCIDENCE = 0.066
+#: What is no key: symbols that coincide so many times as often as uniform ones, such a share of turns (or of none),
+#: and such a serial correlation.
+UNEVEN, TURN, SERIAL = 8.0, 0.05, 0.9
 #: How often letters stand in 1,000 of running text, roughly, over English, French, German and Spanish.
 LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (85, 14, 32, 46, 148, 13, 17, 29, 70, 5, 7, 45, 27, 74, 59, 22, 7, 66, 71, 68, 46, 13, 11, 5, 9, 6)))
-#: Chance that a digit is followed by a digit and a letter by a letter in what is no key.
+#: Chance that a character is followed by one of its kind (capitals, small letters, digits, signs) in what is no key.
 STAY = 0.9
 #: Lengths that begin a class.
 CLASSES = (20, 28, 40, 64, 128)
 #: Bins of a decade of p-values, and the last bin.
 BINS, LAST = 20, 400
+#: Values that are summed before blocks are.
+BLOCK = 128
+
+
+def prefixes(values: Column, zero: Column, op: Callable[[Column, Column], Column], kind: str) -> Column:
+    """What ``op`` makes of ``zero`` and the values up to each one of the array ``values``; ``kind`` is their type.
+
+    An array that grows by one at each step is copied each time, so steps go over blocks, and blocks are then joined.
+    """
+
+    def run(block: Column, start: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            return let(op(acc["at"], x), lambda y: F.struct(y.alias("at"), F.concat(acc["out"], F.array(y)).alias("out")))
+
+        return F.aggregate(block, F.struct(start.alias("at"), F.array().cast(f"array<{kind}>").alias("out")), step, lambda acc: acc["out"])
+
+    def blocks(v: Column) -> Column:
+        starts = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda at: F.slice(v, at, BLOCK))
+
+    def joined(bs: Column) -> Column:
+        totals = F.transform(bs, lambda b: F.aggregate(b, zero, op))
+        before = F.slice(F.concat(F.array(zero), run(totals, zero)), F.lit(1), F.size(bs))
+        return F.flatten(F.zip_with(bs, before, run))
+
+    return let(values, lambda v: let(blocks(v), joined))
 
 
 def _found(text: Column, pattern: str, group: int = 0) -> Column:
     """Matches of ``pattern``: array of (start, end, what group ``group`` holds)."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     held = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,held:string>>").alias("out"))
+    # each match with what lies before it; what lies behind the last is left out
+    sizes = F.zip_with(F.split(text, pattern, -1), whole, lambda g, w: F.struct((F.char_length(g) + F.char_length(w)).alias("step"), F.char_length(w).alias("own")))
+    sizes = F.filter(sizes, lambda x: x["own"].isNotNull())
 
     def spans(m: Column) -> Column:
-        def step(acc: Column, k: Column) -> Column:
-            begin = acc["at"] + F.char_length(F.element_at(m["gaps"], k))
-            end = begin + F.char_length(F.element_at(m["whole"], k))
-            span = F.struct(begin.alias("start"), end.alias("end"), F.element_at(m["held"], k).alias("held"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        ends = prefixes(F.transform(m["sizes"], lambda x: x["step"]), F.lit(0), lambda a, b: a + b, "int")
+        places = F.zip_with(ends, m["sizes"], lambda end, x: F.struct((end - x["own"]).alias("start"), end.alias("end")))
+        return F.zip_with(places, m["held"], lambda at, h: F.struct(at["start"].alias("start"), at["end"].alias("end"), h.alias("held")))
+
+    return let(F.struct(sizes.alias("sizes"), held.alias("held")), spans)
+
+
+def _clear(runs: Column, base: Column) -> Column:
+    """Those of ``runs`` that no span of ``base`` touches: both go by place, and the farthest end so far is enough."""
+    none = F.lit(None).cast(_SPAN)
+    # a run comes at its end, before spans that start there; all spans that come before it and end behind its start touch it
+    marks = F.concat(
+        F.transform(runs, lambda r: F.struct(r["end"].alias("at"), F.lit(0).alias("turn"), F.lit(0).alias("reach"), r.alias("run"))),
+        F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("turn"), b["end"].alias("reach"), none.alias("run"))),
+    )
 
-        places = F.when(F.size(m["whole"]) > 0, F.sequence(F.lit(1), F.size(m["whole"]))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, start, step, lambda acc: acc["out"])
+    def kept(m: Column) -> Column:
+        reach = prefixes(F.transform(m, lambda x: x["reach"]), F.lit(0), lambda a, b: F.greatest(a, b), "int")
+        judged = F.zip_with(m, reach, lambda x, far: F.when(x["run"].isNotNull() & (far <= x["run"]["start"]), x["run"]))
+        return F.filter(judged, lambda r: r.isNotNull())
 
-    return let(F.struct(whole.alias("whole"), held.alias("held"), gaps.alias("gaps")), spans)
+    return F.when((F.size(runs) > 0) & (F.size(base) > 0), let(F.array_sort(marks), kept)).otherwise(runs)
 
 
 def _spans(text: Column, kind: str) -> Column:
-    none = F.array().cast("array<struct<start:int,end:int,held:string>>")
+    none = F.array().cast(f"array<{_SPAN}>")
     if kind == "assign":
         spans = F.filter(_found(text, ASSIGN, 1), lambda s: F.char_length(s["held"]) >= 6)
         return F.when(text.rlike(ASSIGN), spans).otherwise(none)
@@ -89,61 +132,72 @@ def _tagged(spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("order"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
 
+def _kind(c: str) -> str:
+    return "capital" if "A" <= c <= "Z" else "small" if "a" <= c <= "z" else "digit" if c.isdigit() else "sign"
+
+
 def _log_ratio(encoding: str) -> Column:
     """Natural logarithm of how much likelier ``body`` (of length n) is as text in the alphabet than as uniform symbols."""
-    alphabet = ALPHABETS[encoding].lower()
-    letters = [c for c in alphabet if c.isalpha()]
-    total, digits = sum(LETTERS[c] for c in letters), len(alphabet) - len(letters)
-    chance = {c: LETTERS[c] / total if c in LETTERS else 1 / digits for c in alphabet}
+    alphabet = ALPHABETS[encoding]
+    kinds = {kind: [c for c in alphabet if _kind(c) == kind] for kind in sorted(set(map(_kind, alphabet)))}
+    weight = lambda c: LETTERS.get(c.lower(), 1)
+    chance = {c: weight(c) / sum(map(weight, members)) for members in kinds.values() for c in members}
     symbols = F.create_map(*[x for c, p in chance.items() for x in (F.lit(c), F.lit(math.log(p * len(alphabet))))])
-    each = F.transform(F.filter(F.split(F.lower("body"), ""), lambda c: c != ""), lambda c: F.element_at(symbols, c))
-    switches = F.regexp_count("body", F.lit("[0-9]+|[A-Za-z]+")) - 1
-    return F.aggregate(each, F.lit(math.log(0.5)), lambda a, b: a + b) + switches * math.log(1 - STAY) + (F.col("n") - 1 - switches) * math.log(STAY)
+    each = F.transform(_characters("body"), lambda c: F.element_at(symbols, c))
+    switches = F.regexp_count("body", F.lit("[A-Z]+|[a-z]+|[0-9]+|[+/]+")) - 1
+    text = F.lit(-math.log(len(kinds))) + switches * math.log((1 - STAY) / (len(kinds) - 1)) + (F.col("n") - 1 - switches) * math.log(STAY)
+    return F.aggregate(each, text, lambda a, b: a + b)
 
 
-def battery(runs: DataFrame) -> DataFrame:
-    """``runs`` (column held) with encoding, n, log_ratio, z_flat, z_even, z_runs, z_serial: the tests' scores.
+def _characters(name: str) -> Column:
+    return F.filter(F.split(name, ""), lambda c: c != "")
 
-    z_flat says how much flatter than text the run is; z_even, z_runs and z_serial how far from random; log_ratio, of
-    hexadecimal and base-32 runs, how much likelier as text than as a key.
-    """
+
+def _tail(z: Column) -> Column:
+    """A bound from above of the normal tail at ``z``, which errs on the safe side."""
+    return F.when(z > 0, 0.5 * F.exp(-z * z / 2)).otherwise(1.0)
+
+
+def _turning(turns: Column, n: Column, share: float) -> Column:
+    """Chernoff's bound: the chance that of ``n`` places as many turn as do, or as few, where ``share`` of them should."""
+    q = turns / n
+    part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(0.0)
+    beyond = q > share if share < 0.5 else q < share
+    return F.when(beyond, F.exp(-n * (part(q, share) + part(1 - q, 1 - share)))).otherwise(1.0)
+
+
+def battery(runs: DataFrame) -> DataFrame:
+    """``runs`` (column held) with encoding, n, the statistics chi2, turns, serial and log_ratio, and the p-value of each
+    test: p_even, p_runs, p_serial and p_text."""
     body = F.translate(F.regexp_replace("held", "=+$", ""), "-_", "+/")
     got = runs.withColumn("body", body).withColumn("n", F.char_length(F.col("body"))).where(F.col("n") >= SHORTEST)
     kind = F.when(F.col("body").rlike("^[0-9a-f]+$"), "hex").when(F.col("body").rlike("^[0-9A-F]+$"), "hex").when(F.col("body").rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
     got = got.withColumn("encoding", kind).withColumn("body", F.when((F.col("encoding") == "hex"), F.lower("body")).otherwise(F.col("body")))
     choose = lambda f: F.when(F.col("encoding") == "hex", f("hex")).when(F.col("encoding") == "base32", f("base32")).otherwise(f("base64"))
-    got = got.withColumn("log_ratio", F.when(F.col("encoding") == "hex", _log_ratio("hex")).when(F.col("encoding") == "base32", _log_ratio("base32")))
+    got = got.withColumn("log_ratio", choose(_log_ratio))
     got = got.withColumn("alphabet", choose(lambda e: F.lit(ALPHABETS[e]))).withColumn("k", F.char_length(F.col("alphabet")).cast("double"))
     n, k = F.col("n").cast("double"), F.col("k")
-    squares = F.aggregate(F.split("alphabet", ""), F.lit(0.0), lambda acc, c: acc + F.when(c == "", 0.0).otherwise(F.pow(n - F.char_length(F.replace(F.col("body"), c, F.lit(""))), F.lit(2.0))))
+    squares = F.aggregate(_characters("alphabet"), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.char_length(F.replace(F.col("body"), c, F.lit(""))), F.lit(2.0)))
     got = got.withColumn("chi2", k * squares / n - n)
-    # pairs of equal symbols: mean and spread for uniform symbols, and the mean for text of that length
-    even = (F.col("chi2") - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-    text_mean = (k - 1) + (n - 1) * (k * COINCIDENCE - 1)
-    text_sd = F.sqrt(2 * (k - 1) + 4 * (n - 1) * F.lit(COINCIDENCE) * k)
-    got = got.withColumn("z_even", even).withColumn("z_flat", (text_mean - F.col("chi2")) / text_sd)
-    values = F.transform(F.filter(F.split("body", ""), lambda c: c != ""), lambda c: (F.instr(F.col("alphabet"), c) - 1).cast("double"))
-    got = got.withColumn("values", values)
-    above = F.transform("values", lambda v: (v >= k / 2).cast("int"))
-    got = got.withColumn("ones", F.aggregate(above, F.lit(0), lambda a, b: a + b).cast("double")).withColumn("above", above)
-    turns = F.aggregate(F.zip_with(F.slice("above", 1, F.col("n") - 1), F.slice("above", 2, F.col("n") - 1), lambda a, b: F.abs(a - b)), F.lit(0), lambda a, b: a + b) + 1
-    mean_runs = 2 * F.col("ones") * (n - F.col("ones")) / n + 1
-    var_runs = (mean_runs - 1) * (mean_runs - 2) / (n - 1)
-    got = got.withColumn("z_runs", F.when(var_runs > 0, (turns - mean_runs) / F.sqrt(var_runs)).otherwise(99.0))
-    mean = F.aggregate("values", F.lit(0.0), lambda a, b: a + b) / n
-    got = got.withColumn("mean", mean)
+    values = F.transform(_characters("body"), lambda c: (F.instr(F.col("alphabet"), c) - 1).cast("double"))
+    got = got.withColumn("values", values).withColumn("mean", F.aggregate("values", F.lit(0.0), lambda a, b: a + b) / n)
+    neighbours = lambda f: F.aggregate(F.zip_with(F.slice("values", 1, F.col("n") - 1), F.slice("values", 2, F.col("n") - 1), f), F.lit(0.0), lambda a, b: a + b)
+    got = got.withColumn("turns", neighbours(lambda a, b: F.when((a >= k / 2) == (b >= k / 2), 0.0).otherwise(1.0)))
     spread = F.aggregate("values", F.lit(0.0), lambda a, b: a + F.pow(b - F.col("mean"), F.lit(2.0)))
-    lagged = F.aggregate(F.zip_with(F.slice("values", 1, F.col("n") - 1), F.slice("values", 2, F.col("n") - 1), lambda a, b: (a - F.col("mean")) * (b - F.col("mean"))), F.lit(0.0), lambda a, b: a + b)
-    got = got.withColumn("z_serial", F.when(spread > 0, (lagged / spread + 1 / n) * F.sqrt(n)).otherwise(99.0))
-    return got.drop("alphabet", "k", "chi2", "values", "above", "ones", "mean", "body")
-
-
-def discoveries(tested: DataFrame, rate: float = 0.01, odd: float = 3.3) -> DataFrame:
-    """The rows of ``battery`` that are keys: random by every test, and unlike text at false-discovery ``rate``."""
-    # 0.5 exp(-z^2/2) bounds the normal tail from above, so these p-values err on the safe side
-    flat = F.when(F.col("z_flat") > 0, 0.5 * F.exp(-F.col("z_flat") * F.col("z_flat") / 2)).otherwise(1.0)
-    unlike = F.when(F.col("encoding") == "base64", flat).otherwise(F.exp(F.least(F.col("log_ratio"), F.lit(0.0))))
-    p = F.when((F.col("z_even") < odd) & (F.abs("z_runs") < odd) & (F.abs("z_serial") < odd), unlike).otherwise(1.0)
+    lagged = neighbours(lambda a, b: (a - F.col("mean")) * (b - F.col("mean")))
+    # the correlation of neighbours is 1 / n too low for symbols in random order
+    got = got.withColumn("serial", F.when(spread > 0, lagged / spread + 1 / n).otherwise(1.0))
+    even = ((k - 1) + (n - 1) * (UNEVEN - 1) - F.col("chi2")) / F.sqrt(2 * (k - 1) + 4 * (n - 1) * UNEVEN)
+    serial = (math.atanh(SERIAL) - F.abs(F.atanh(F.greatest(F.lit(-0.999), F.least(F.lit(0.999), F.col("serial")))))) * F.sqrt(n - 3)
+    got = got.withColumn("p_even", _tail(even)).withColumn("p_serial", _tail(serial))
+    got = got.withColumn("p_runs", F.greatest(_turning(F.col("turns"), n - 1, TURN), _turning(F.col("turns"), n - 1, 1 - TURN)))
+    got = got.withColumn("p_text", F.exp(F.least(F.col("log_ratio"), F.lit(0.0))))
+    return got.drop("alphabet", "k", "values", "mean", "body")
+
+
+def discoveries(tested: DataFrame, rate: float = 0.01) -> DataFrame:
+    """The rows of ``battery`` that are keys at false-discovery ``rate``, with p, the largest of their p-values."""
+    p = F.greatest("p_even", "p_runs", "p_serial", "p_text")
     bin_ = F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * BINS).cast("int"), F.lit(LAST))
     length = F.lit(0)
     for k, least in enumerate(CLASSES):
@@ -164,19 +218,18 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: fl
     base = F.concat(*[_tagged(_spans(F.col("text"), kind), kind) for kind in KINDS[:3]])
     # few documents hold any run: only what was found travels on
     found = rows.select("doc_id", base.alias("base"), _spans(F.col("text"), "random").alias("runs"))
-    apart = lambda r, b: (r["end"] <= b["start"]) | (b["end"] <= r["start"])
-    free = F.filter("runs", lambda r: F.forall("base", lambda b: apart(r, b)))
-    found = cut(found.select("doc_id", "base", free.alias("runs")))
-    runs = found.select(F.explode("runs").alias("r")).select("r.held").distinct()
-    keys = cut(discoveries(battery(runs), rate).select("held").distinct())
-    # the same run is a key wherever it stands, so rows need no identity to get their spans back
+    found = cut(found.select("doc_id", "base", _clear(F.col("runs"), F.col("base")).alias("runs")))
+    keys = cut(discoveries(battery(found.select(F.explode("runs").alias("r")).select("r.held").distinct()), rate).select("held"))
+    # texts with the same runs at the same places have the same keys there, so a digest of the runs names them
+    told = F.transform("runs", lambda r: F.concat_ws(":", r["start"].cast("string"), r["held"]))
+    some = found.where(F.size("runs") > 0).withColumn("name", F.sha2(F.array_join(told, ",").cast("binary"), 256))
+    each = some.groupBy("name").agg(F.first("runs").alias("runs")).select("name", F.explode("runs").alias("r")).select("name", "r", "r.held")
+    # cut, so that AQE can split the joins on a run, or on runs, that many texts share
+    each = each.join(keys, "held", "left_semi").groupBy("name").agg(F.collect_list("r").alias("keys"))
+    added = cut(each.select("name", _tagged(F.col("keys"), "random").alias("added")))
     plain = found.where(F.size("runs") == 0).select("doc_id", F.array_sort("base").alias("spans"))
-    some = found.where(F.size("runs") > 0).groupBy("doc_id", "base", "runs").agg(F.count(F.lit(1)).alias("copies"))
-    some = some.select("*", F.explode(F.array_distinct(F.transform("runs", lambda r: r["held"]))).alias("held"))
-    marked = some.join(keys.withColumn("key", F.col("held")), "held", "left").groupBy("doc_id", "base", "runs", "copies").agg(F.collect_set("key").alias("keys"))
-    marked = marked.select("doc_id", "base", "runs", "keys", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    added = _tagged(F.filter("runs", lambda r: F.array_contains("keys", r["held"])), "random")
-    return plain.unionByName(marked.select("doc_id", F.array_sort(F.concat("base", added)).alias("spans")))
+    with_keys = some.join(added, "name", "left").select("doc_id", F.array_sort(F.when(F.col("added").isNull(), F.col("base")).otherwise(F.concat("base", "added"))).alias("spans"))
+    return plain.unionByName(with_keys)
 
 
 def joined(spans: Column) -> Column:

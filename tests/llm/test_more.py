@@ -200,6 +200,90 @@ def test_short_and_upper_case_keys_are_spans(spark):
         assert sum(r["spans"] != "" for r in got if r["doc_id"] // 20 == k) >= 12
 
 
+def tested_by_hand(held):
+    """Encoding, length and the four p-values of one run, None if it is too short."""
+    body = held.rstrip("=").replace("-", "+").replace("_", "/")
+    if len(body) < 16:
+        return None
+    encoding = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", body) else "base32" if re.fullmatch("[A-Z2-7]+", body) else "base64"
+    body = body.lower() if encoding == "hex" else body
+    alphabet = secret_scan.ALPHABETS[encoding]
+    k, n = len(alphabet), len(body)
+    counts = Counter(body)
+    chi2 = sum((counts[c] - n / k) ** 2 / (n / k) for c in alphabet)
+    tail = lambda z: math.exp(-z * z / 2) / 2 if z > 0 else 1.0
+    p_even = tail(((k - 1) + (n - 1) * 7 - chi2) / math.sqrt(2 * (k - 1) + 4 * (n - 1) * 8))
+    x = [alphabet.index(c) for c in body]
+    turns = sum((a >= k / 2) != (b >= k / 2) for a, b in zip(x, x[1:]))
+
+    def chernoff(share):
+        q = turns / (n - 1)
+        if q <= share < 0.5 or q >= share > 0.5:
+            return 1.0
+        unlike = sum(t * math.log(t / u) for t, u in ((q, share), (1 - q, 1 - share)) if t)
+        return math.exp(-(n - 1) * unlike)
+
+    mean = sum(x) / n
+    spread = sum((a - mean) ** 2 for a in x)
+    serial = sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / spread + 1 / n if spread else 1.0
+    p_serial = tail((math.atanh(0.9) - abs(math.atanh(max(-0.999, min(0.999, serial))))) * math.sqrt(n - 3))
+    kind = lambda c: 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
+    weigh = lambda c: secret_scan.LETTERS.get(c.lower(), 1)
+    ratio, kinds = 1.0, len(set(map(kind, alphabet)))
+    for at, c in enumerate(body):
+        ratio *= k * weigh(c) / sum(weigh(d) for d in alphabet if kind(d) == kind(c))
+        ratio *= 1 / kinds if at == 0 else 0.9 if kind(c) == kind(body[at - 1]) else 0.1 / (kinds - 1)
+    return encoding, n, p_even, max(chernoff(0.05), chernoff(0.95)), p_serial, min(1.0, ratio)
+
+
+def test_battery_and_cut_are_brute_force(spark):
+    rng = random.Random(12)
+    alphabets = [*secret_scan.ALPHABETS.values(), "0123456789ABCDEF", "abcdefgh", "0123456789", "etaoinsr-/", "AZ", "aB3"]
+    runs = sorted({"".join(rng.choices(a, k=rng.choice([16, 19, 20, 27, 28, 40, 64, 130]))) + "=" * rng.choice([0, 0, 2]) for a in alphabets for _ in range(40)} | {"a" * 20, "abcdefghijklmnopqrstuvwxyz", "0a0b0c0d0e0f" * 3, "-" * 30, "==" * 15, "A1" * 20})
+    got = {r["held"]: r for r in secret_scan.battery(spark.createDataFrame([(x,) for x in runs], "held string")).collect()}
+    want = {x: t for x in runs if (t := tested_by_hand(x))}
+    assert got.keys() == want.keys()
+    for x, (encoding, n, *ps) in want.items():
+        r = got[x]
+        assert (r["encoding"], r["n"]) == (encoding, n)
+        for mine, p in zip((r["p_even"], r["p_runs"], r["p_serial"], r["p_text"]), ps):
+            assert math.isclose(mine, p, rel_tol=1e-6, abs_tol=1e-280), (x, mine, p)
+    # Benjamini and Hochberg in each class of length and encoding, over p-values rounded up to a twentieth of a decade
+    classes = defaultdict(list)
+    for x, (encoding, n, *ps) in want.items():
+        step = min(400, math.floor(-math.log10(max(max(ps), 1e-300)) * 20))
+        classes[encoding, sum(n >= c for c in (20, 28, 40, 64, 128))].append((10 ** (-step / 20), x))
+    keys = set()
+    for members in classes.values():
+        members.sort()
+        best = max((k for k in range(1, len(members) + 1) if members[k - 1][0] * len(members) <= 0.01 * k), default=0)
+        keys |= {x for p, x in members if best and p <= members[best - 1][0]}
+    found = {r["held"] for r in secret_scan.discoveries(spark.createDataFrame([(x,) for x in runs], "held string").transform(secret_scan.battery)).collect()}
+    assert found == keys and 60 < len(keys) < len(runs)
+
+
+def test_many_matches_in_one_text(spark):
+    rng = random.Random(13)
+    b64 = lambda n: base64.b64encode(bytes(rng.randrange(256) for _ in range(n))).decode()
+    many = "é token=abcdef1 " * 64_000
+    mixed = " ".join(rng.choice([f"token={b64(24)}", b64(30), "AKIA" + "Q7" * 9, "0af9" * 7, "word", f"secret: {b64(18)}{b64(18)}", "x" * 30]) for _ in range(3000))
+    texts = [many, mixed, mixed + " ", "token=" + b64(30) + "/" + b64(30)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate([*texts, mixed])], DOCS)
+    got = {r["doc_id"]: r for r in secret_scan.digest(frame).collect()}
+    assert got[0]["n_assign"] == 64_000
+    assert got[1]["spans"] == got[2]["spans"] == got[4]["spans"]
+    for i, text in enumerate(texts):
+        want = base_spans(text)
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in want).encode()).hexdigest()
+        spans = [(int(a), int(b)) for k, a, b in (s.split(":") for s in got[i]["spans"].split(",")) if k == "random"]
+        runs = {m.span() for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text)}
+        assert set(spans) <= runs and len(set(spans)) == len(spans)
+        if i == 1:
+            clear = {r for r in runs if not any(a < r[1] and b > r[0] for a, _, _, b in want)}
+            keys = {r for r in clear if text[r[0] : r[0] + 5] != "xxxxx"}
+            assert set(spans) <= keys and len(spans) > 0.95 * len(keys)
+
+
 # neighbours
 
 
