@@ -58,6 +58,33 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Values of one block of ``running``.
+BLOCK = 128
+
+
+def running(values: Column, zero: Column, op: Callable[[Column, Column], Column], kind: str) -> Column:
+    """What ``op`` makes of ``zero`` and the values up to each one of the array ``values``: an array of ``kind``.
+
+    An array that grows by one at each step is copied each time, so blocks are filled first and then put together.
+    """
+
+    def grown(acc: Column, more: Column, last: Column) -> Column:
+        return F.struct(last.alias("at"), F.concat(acc["out"], F.array(more)).alias("out"))
+
+    def start(at: Column, inner: str) -> Column:
+        return F.struct(at.alias("at"), F.array().cast(f"array<{inner}>").alias("out"))
+
+    def block(acc: Column, part: Column) -> Column:
+        inside = F.aggregate(part, start(acc["at"], kind), lambda a, x: let(op(a["at"], x), lambda y: grown(a, y, y)))
+        return let(inside, lambda done: grown(acc, done["out"], done["at"]))
+
+    def whole(v: Column) -> Column:
+        starts = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(F.transform(starts, lambda at: F.slice(v, at, BLOCK)), start(zero, f"array<{kind}>"), block, lambda acc: F.flatten(acc["out"]))
+
+    return let(values, whole)
+
+
 def nothing(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 

@@ -85,27 +85,26 @@ FROM d WINDOW w AS (PARTITION BY norm)
 """
 
 _OP6 = r"""
-WITH t AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-         row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n_turns
-  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, coalesce(role, 'unknown'), coalesce(text, ''))
+WITH r AS (
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS loose, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+), t AS (
+  SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id, loose) AS n_turns
+  FROM r WINDOW w AS (PARTITION BY conv_id, loose ORDER BY turn NULLS FIRST, role, sha256(text))
 ), p AS (
-  SELECT conv_id, i, n_turns,
-         string_agg(strlen(role) || ':' || role || ':' || strlen(text) || ':' || text, ',') OVER (PARTITION BY conv_id ORDER BY i) AS prefix
+  SELECT conv_id, loose, i, n_turns,
+         string_agg(strlen(role) || ':' || role || ':' || strlen(text) || ':' || text, ',') OVER (PARTITION BY conv_id, loose ORDER BY i) AS prefix
   FROM t
 ), e AS (
-  SELECT prefix, n_turns, min(conv_id) AS conv_id, count(*) AS n_equal FROM p WHERE i = n_turns GROUP BY prefix, n_turns
+  SELECT prefix, n_turns, min(conv_id) AS conv_id, min(loose) AS loose, count(*) AS n_equal FROM p WHERE i = n_turns GROUP BY prefix, n_turns
 ), m AS (
   SELECT * FROM e WHERE prefix NOT IN (SELECT prefix FROM p WHERE i < n_turns)
 )
 SELECT m.conv_id, m.n_turns, m.n_equal,
        string_agg('<|turn|>' || replace(role, '<|', '<\|') || chr(10) || replace(text, '<|', '<\|') || '<|end|>' || chr(10), '' ORDER BY i) AS rendered
-FROM m JOIN t ON t.conv_id = m.conv_id GROUP BY m.conv_id, m.n_turns, m.n_equal
+FROM m JOIN t ON t.conv_id = m.conv_id OR m.conv_id IS NULL AND t.loose = m.loose GROUP BY m.conv_id, m.loose, m.n_turns, m.n_equal
 """
 
 
-
-
 def _deal(source: str, parent: str, budget: str, capacity: str, weight: str, out: str) -> str:
     """SQL that deals ``budget`` to the rows of ``source`` by weight (all above 0), never over capacity."""
     order = f"PARTITION BY {parent} ORDER BY {capacity}::DOUBLE / {weight}, {capacity}, lang, source"

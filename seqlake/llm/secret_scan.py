@@ -27,13 +27,12 @@ empty table gives an empty result; other columns are not read. The spans of one
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqlake.llm.common import col, cut, let
+from seqlake.llm.common import col, cut, let, running
 
 KINDS = ("assign", "access", "hex", "random")
 _SPAN = "struct<start:int,end:int,held:string>"
@@ -57,32 +56,6 @@ STAY = 0.9
 CLASSES = (20, 28, 40, 64, 128)
 #: Bins of a decade of p-values, and the last bin.
 BINS, LAST = 20, 400
-#: Values that are summed before blocks are.
-BLOCK = 128
-
-
-def prefixes(values: Column, zero: Column, op: Callable[[Column, Column], Column], kind: str) -> Column:
-    """What ``op`` makes of ``zero`` and the values up to each one of the array ``values``; ``kind`` is their type.
-
-    An array that grows by one at each step is copied each time, so steps go over blocks, and blocks are then joined.
-    """
-
-    def run(block: Column, start: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            return let(op(acc["at"], x), lambda y: F.struct(y.alias("at"), F.concat(acc["out"], F.array(y)).alias("out")))
-
-        return F.aggregate(block, F.struct(start.alias("at"), F.array().cast(f"array<{kind}>").alias("out")), step, lambda acc: acc["out"])
-
-    def blocks(v: Column) -> Column:
-        starts = F.when(F.size(v) > 0, F.sequence(F.lit(1), F.size(v), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda at: F.slice(v, at, BLOCK))
-
-    def joined(bs: Column) -> Column:
-        totals = F.transform(bs, lambda b: F.aggregate(b, zero, op))
-        before = F.slice(F.concat(F.array(zero), run(totals, zero)), F.lit(1), F.size(bs))
-        return F.flatten(F.zip_with(bs, before, run))
-
-    return let(values, lambda v: let(blocks(v), joined))
 
 
 def _found(text: Column, pattern: str, group: int = 0) -> Column:
@@ -94,7 +67,7 @@ def _found(text: Column, pattern: str, group: int = 0) -> Column:
     sizes = F.filter(sizes, lambda x: x["own"].isNotNull())
 
     def spans(m: Column) -> Column:
-        ends = prefixes(F.transform(m["sizes"], lambda x: x["step"]), F.lit(0), lambda a, b: a + b, "int")
+        ends = running(F.transform(m["sizes"], lambda x: x["step"]), F.lit(0), lambda a, b: a + b, "int")
         places = F.zip_with(ends, m["sizes"], lambda end, x: F.struct((end - x["own"]).alias("start"), end.alias("end")))
         return F.zip_with(places, m["held"], lambda at, h: F.struct(at["start"].alias("start"), at["end"].alias("end"), h.alias("held")))
 
@@ -111,7 +84,7 @@ def _clear(runs: Column, base: Column) -> Column:
     )
 
     def kept(m: Column) -> Column:
-        reach = prefixes(F.transform(m, lambda x: x["reach"]), F.lit(0), lambda a, b: F.greatest(a, b), "int")
+        reach = running(F.transform(m, lambda x: x["reach"]), F.lit(0), lambda a, b: F.greatest(a, b), "int")
         judged = F.zip_with(m, reach, lambda x, far: F.when(x["run"].isNotNull() & (far <= x["run"]["start"]), x["run"]))
         return F.filter(judged, lambda r: r.isNotNull())
 

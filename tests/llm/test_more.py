@@ -122,16 +122,53 @@ def test_equals_sql(spark, name):
     assert sorted(ours[columns].astype(str).values.tolist()) == sorted(theirs[columns].astype(str).values.tolist())
 
 
+def collapsed_by_hand(rows):
+    """(conv_id, n_turns, n_equal, rendered) of the maximal conversations of (conv_id, turn, role, text)."""
+    talks = defaultdict(list)
+    for k, (i, turn, role, text) in enumerate(rows):
+        role, text = "unknown" if role is None else role, text or ""
+        talks[("loose", k) if i is None else i].append((turn is not None, turn or 0, role, hashlib.sha256(text.encode()).digest(), text))
+    equal = defaultdict(list)
+    for i, turns in talks.items():
+        equal[tuple((r, t) for _, _, r, _, t in sorted(turns))].append(None if isinstance(i, tuple) else i)
+    snapshots = {talk[:k] for talk in equal for k in range(1, len(talk))}
+    safe = lambda t: t.replace("<|", "<\\|")
+    out = []
+    for talk, ids in equal.items():
+        if talk not in snapshots:
+            out.append((min((i for i in ids if i is not None), default=None), len(talk), len(ids), "".join(f"<|turn|>{safe(r)}\n{safe(t)}<|end|>\n" for r, t in talk)))
+    return sorted(out, key=repr)
+
+
+CHATS = "conv_id long, turn long, role string, text string"
+
+
 def test_snapshots_collapse(spark):
-    talks = {1: ["a", "b"], 2: ["a", "b", "c"], 3: ["a", "b", "c"], 4: ["a", "x"], 5: ["a"], 6: [None], 7: ["", "q"], None: ["z", "<|end|>"]}
+    talks = {1: ["a", "b"], 2: ["a", "b", "c"], 3: ["a", "b", "c"], 4: ["a", "x"], 5: ["a"], 6: [None], 7: ["", "q"]}
     rows = [(i, k, "user" if k % 2 == 0 else None, t) for i, ts in talks.items() for k, t in enumerate(ts)]
-    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1)).withColumn("hash", F.lit(1))
-    got = {r["conv_id"]: r for r in chat.collapse(frame).collect()}
-    assert {i: (r["n_turns"], r["n_equal"]) for i, r in got.items()} == {2: (3, 2), 4: (2, 1), 7: (2, 1), None: (2, 1)}
-    assert got[None]["rendered"] == "<|turn|>user\nz<|end|>\n<|turn|>unknown\n<\\|end|><|end|>\n"
+    rows += [(None, 0, "user", "z"), (None, 5, None, "<|end|>"), (None, None, "user", "a"), (None, 1, "user", "z")]
+    frame = spark.createDataFrame(rows, CHATS).withColumn("turns", F.lit(1)).withColumn("hash", F.lit(1)).withColumn("name", F.lit(1))
+    got = sorted(map(tuple, chat.collapse(frame).collect()), key=repr)
+    assert got == collapsed_by_hand(rows)
+    assert [(i, n, e) for i, n, e, _ in got] == [(2, 3, 2), (4, 2, 1), (7, 2, 1), (None, 1, 1), (None, 1, 2)]
     assert chat.collapse(frame.limit(0)).count() == 0
 
 
+def test_chats_with_ties_repeats_and_many_null_ids(spark):
+    rng = random.Random(21)
+    rows = [(None, rng.randrange(3), rng.choice(["user", None, ""]), rng.choice(["hi", None, "<|turn|>x", f"t{k}"])) for k in range(3000)] + [(None, 0, "user", "the same")] * 2000
+    rows += [(i, t, rng.choice(["user", "bot", None]), rng.choice("ab")) for i in range(150) for t in [*range(rng.randrange(1, 5)), 0, None][: rng.randrange(1, 7)]]
+    rows += [(900, 1, "user", "twice"), (900, 1, "user", "twice"), (901, 1, "user", "twice"), (902, 0, "a:b", "c"), (903, 0, "a", "b:c")]
+    rows += [(950 + k, t, "user", f"turn {t}") for k, n in enumerate((700, 699, 128, 129, 1)) for t in range(n)]
+    rows += [(990, 0, "bot", "long " * 100_000)]
+    got = sorted(map(tuple, chat.collapse(spark.createDataFrame(rows, CHATS)).collect()), key=repr)
+    assert got == collapsed_by_hand(rows)
+    connection = duckdb.connect()
+    connection.register("conversations", spark.createDataFrame(rows, CHATS).toPandas().astype({"conv_id": "Int64", "turn": "Int64"}))
+    theirs = connection.execute(queries.oracle_sql()["op6_chat"]).fetchall()
+    assert sorted(map(tuple, theirs), key=repr) == got
+
+
 # secrets
 
 RULES = {"assign": r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]+"}
