@@ -324,11 +324,10 @@ def test_many_matches_in_one_text(spark):
 # neighbours
 
 
-def test_neighbours_are_found(spark):
-    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
-    x = np.array([r["embedding"] for r in frame.orderBy("vec_id").collect()], float)
+def recall(frame, x, **options):
+    """Share of the exact 20 nearest that are found, of vectors ``x`` whose ids are their places; scores and order are checked."""
     got = defaultdict(list)
-    for r in sorted(ann.search(frame, sample=2048).collect(), key=lambda r: (r["query_id"], r["rank"])):
+    for r in sorted(ann.search(frame, **options).collect(), key=lambda r: (r["query_id"], r["rank"])):
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     asked = range(0, len(x), 20)
     hits = 0
@@ -339,7 +338,52 @@ def test_neighbours_are_found(spark):
         assert len(got[q]) == 20 and all(abs(s - x[q] @ x[i]) < 1e-9 and i != q for i, s in got[q])
         assert [s for _, s in got[q]] == sorted((s for _, s in got[q]), reverse=True)
         hits += len(best & {i for i, _ in got[q]})
-    assert hits / (20 * len(asked)) >= 0.9
+    return hits / (20 * len(asked))
+
+
+@pytest.mark.parametrize("sample", [None, 2048])
+def test_neighbours_are_found(spark, sample):
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    x = np.array([r["embedding"] for r in frame.orderBy("vec_id").collect()], float)
+    assert recall(frame, x, sample=sample) >= 0.9
+
+
+@pytest.mark.parametrize("kind", ["clustered", "unstructured"])
+def test_recall_beyond_the_sample(spark, monkeypatch, kind):
+    """More vectors than the default sample holds, in several blocks; doubles."""
+    monkeypatch.setattr(ann, "LEAST", 2000)
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(12_000, 32))
+    if kind == "clustered":
+        x = rng.normal(size=(60, 32))[rng.integers(60, size=len(x))] * 3 + 0.4 * x
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(4)
+    assert recall(frame, x) >= 0.9
+    index = ann.fit(x[:2000], len(x))
+    assert index.probes < len(index.centroids) / 3 or kind == "unstructured"
+
+
+def test_blocks_hold_lists_whole_or_in_parts():
+    centroids = np.random.default_rng(2).normal(size=(30, 4))
+    sizes = np.array([10] * 29 + [1000])
+    blocks = ann.Blocks(centroids, sizes, 100)
+    lists = np.repeat(np.arange(30), sizes)
+    at = blocks.of_entries(lists, np.arange(len(lists)))
+    reached = {(b, la) for b, own in blocks.of_query(np.arange(30)) for la in own.tolist()}
+    assert set(zip(at.tolist(), lists.tolist())) <= reached and np.bincount(at).max() <= 400
+    assert {b for b, _ in blocks.of_query(np.array([29]))} >= set(at[lists == 29].tolist())
+
+
+def test_lengths_repeats_and_clashing_columns(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(400, 6)).tolist())]
+    odd = [(-1, [1.0, 2.0]), (-20, [9.0] * 7), (5000, [1.0] * 5), (5020, [])]
+    frame = spark.createDataFrame([*rows, *rows[:50], *odd], "vec_id long, embedding array<double>")
+    for name in ("ids", "list", "raw", "code", "n", "v", "block", "queries"):
+        frame = frame.withColumn(name, F.lit(1))
+    x = np.array([v for _, v in rows])
+    got = ann.search(frame)
+    assert {r["query_id"] for r in got.collect()} == set(range(0, 400, 20))
+    assert recall(frame, x) >= 0.9
 
 
 def test_neighbour_edges(spark):
