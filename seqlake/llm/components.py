@@ -16,18 +16,21 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, root) for each node that has an edge; root is the smallest node of the component.
 
     Loops and repeated edges do no harm. Each round contracts stars towards the smallest neighbour, and rounds grow
-    with the logarithm of the longest path. Each round is cut in the shared folder. No edges give no rows.
+    with the logarithm of the longest path. Each round is cut in the shared folder, and so are the smallest neighbours,
+    so that both sides of a join are plain exchanges and AQE can split a node with very many neighbours. No edges give no
+    rows.
     """
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = cut(edges)
     before = _mark(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         # large star: every larger neighbour moves to the smallest one
         edges = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: the smaller neighbours, and the node itself, move to the smallest one
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        edges = cut(edges)
+        least = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
         edges = cut(edges.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct())
         after = _mark(edges)
         if after == before:

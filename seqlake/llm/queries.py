@@ -12,15 +12,22 @@ from seqlake.llm import ann, byte_bpe, chat, exact_dedup, lang_id, mixing, secre
 from seqlake.llm.common import table
 from seqlake.llm.pretokens import UNIT_PATTERN
 
-#: Where the vocabulary files of public tokenizers are.
-TOKENIZERS = os.environ.get("SEQLAKE_TOKENIZERS", "/opt/tokenizers")
+#: A folder of vocabulary files; without it, they are where ``public_tokenizers`` says.
+TOKENIZERS = os.environ.get("SEQLAKE_TOKENIZERS")
 RULES = [url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"), url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/")]
 #: Weights of the mixture; nodes that are not named have weight 1.
 WEIGHTS = {("web",): 3, ("books",): 2, ("web", "en"): 3, ("web", "de"): 2, ("books", "en"): 2}
 
 
 def vocabulary(name: str) -> bytes:
-    with open(os.path.join(TOKENIZERS, name), "rb") as file:
+    """A vocabulary file of the public tokenizers, read on the driver."""
+    if TOKENIZERS:
+        path = os.path.join(TOKENIZERS, name)
+    else:
+        import public_tokenizers
+
+        path = public_tokenizers.path(name)
+    with open(path, "rb") as file:
         return file.read()
 
 

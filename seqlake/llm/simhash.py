@@ -169,8 +169,8 @@ def cluster_fingerprints(docs: DataFrame, most: int = 3, bucket: int = BUCKET) -
     distinct = cut(_spread(docs.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), docs.count()))
     roots = connected_components(links(distinct, most, bucket))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size")).where("component_size > 1")
-    # classes of several rows only, cut so that AQE can split the join below on a fingerprint that many copies share
+    # cut, so that AQE can split the joins below on a class of very many fingerprints and on one that many copies share
+    classes = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size")).where("component_size > 1"))
     labels = cut(rooted.join(classes, "root").select("fp", "component_id", "component_size"))
     joined = docs.join(labels, "fp", "left")
     return joined.select(

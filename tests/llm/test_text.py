@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from seqlake.llm import byte_bpe, exact_dedup, simhash, token_count
+from seqlake.llm.components import connected_components
 from seqlake.llm.pretokens import UNIT_PATTERN
 from seqlake.llm.queries import vocabulary
 
@@ -129,6 +130,28 @@ def test_links_are_all_found(spark, bucket):
     assert all(int(got[i]["fingerprint"], 16) == f and len(got[i]["fingerprint"]) == 16 for i, f in enumerate(fps))
 
 
+def test_components_of_hubs_and_chains(spark):
+    rng = random.Random(17)
+    edges = [(0, k) for k in range(1, 3000)] + [(k, 10**6) for k in range(5000, 7000)]  # hubs, the smallest and the largest of their class
+    edges += [(k, k + 1) for k in range(10_000, 10_150)] + [(20_000, 20_000), (7, 7), (3, 0), (0, 3)]
+    edges += [(rng.randrange(30_000, 30_400), rng.randrange(30_000, 30_400)) for _ in range(300)]
+    rng.shuffle(edges)
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in {x for a, b in edges if a != b for x in (a, b)}}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_simhash_edges(spark):
     assert simhash.cluster(frame(spark, [])).count() == 0
     texts = ["", None, " ", "the same text here", "The  same\ntext here", "another one with words"]
