@@ -8,7 +8,7 @@ ids, so a vector that a third of the rows share costs as much as any other.
 
 Lists grow with the square root of the rows, and so do the entries of a list: as long as the neighbours of a query lie in
 a bounded number of lists, the work grows with the rows to the power 1.5. Small lists whose centroids are near each other
-share a block, large ones are dealt to several, so blocks hold about ENTRIES entries; queries come in blocks of QUERIES.
+share a block, large ones are dealt to several, so blocks hold about ENTRIES entries (fewer of long vectors: 4 MB); queries come in blocks of QUERIES.
 A query travels once to each block that it probes, an entry once in all.
 
 Centroids and codebooks are fitted on a sample, chosen by hashed id, of about ``sample`` vectors; without one given, that
@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 from seqlake.llm.common import col, cut, ensure_checkpoint_dir
 
 #: Entries and queries that meet in one block, and queries that are scored at a time.
-ENTRIES, QUERIES, AT_ONCE = 4096, 1024, 128
+ENTRIES, QUERIES, AT_ONCE = 1 << 14, 1024, 64
 #: Rows of the sample, if none is given.
 LEAST, MOST = 1 << 13, 1 << 16
 #: Standard deviations of the quantisation error within which candidates are scored again.
@@ -230,7 +230,7 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     held, candidates = np.zeros(len(index.centroids), np.int64), np.zeros(len(index.centroids), np.int64)
     for r in entries.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("ids")).collect():  # a row for each list
         held[r["list"]], candidates[r["list"]] = r["n"], r["ids"]
-    blocks = Blocks(index.centroids, held, max(256, min(ENTRIES, (1 << 20) // (dim * kind().itemsize))))
+    blocks = Blocks(index.centroids, held, max(256, min(ENTRIES, (1 << 22) // (dim * kind().itemsize))))
     dealt = spark.sparkContext.broadcast(blocks)  # three numbers for each list
     queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v").distinct()
     query_blocks = max(1, -(-n // (every * QUERIES)))

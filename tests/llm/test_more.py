@@ -352,6 +352,7 @@ def test_neighbours_are_found(spark, sample):
 def test_recall_beyond_the_sample(spark, monkeypatch, kind):
     """More vectors than the default sample holds, in several blocks; doubles."""
     monkeypatch.setattr(ann, "LEAST", 2000)
+    monkeypatch.setattr(ann, "ENTRIES", 1000)
     rng = np.random.default_rng(31)
     x = rng.normal(size=(12_000, 32))
     if kind == "clustered":
