@@ -51,6 +51,8 @@ class Limits:
     value_bytes: int = MIB
     bloom_bits_per_key: int = 10
     kept_snapshots: int = 3
+    #: About how large a segment may become; what a flush or a compaction writes beyond it is cut by key range.
+    segment_bytes: int = 256 * MIB
 
     def level(self, k: int) -> int:
         """The most bytes of level ``k``; levels without a limit of their own have the default."""

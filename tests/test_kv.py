@@ -11,7 +11,7 @@ from seqlake.operators import levels, reads, segments, wal
 from seqlake.sources import binary
 from seqlake.store import Store
 
-SMALL = Limits(levels=(200, 400, 1600, 6400))
+SMALL = Limits(levels=(200, 400, 1600, 6400), segment_bytes=200)
 
 
 def log(spark, *ops):
@@ -198,13 +198,11 @@ def test_streams(spark, tmp_path):
 
 
 def test_binary_formats(spark, tmp_path):
-    for source in (binary.LogSource, binary.SegmentSource, binary.ManifestSource):
-        spark.dataSource.register(source)
     good = binary.encode_op("put", b"a", b"1") + binary.encode_batch([("put", b"b", b"\xff\x00"), ("del", b"a", b"")])
     torn = bytearray(binary.encode_op("put", b"c", b"3"))
     torn[-1] ^= 1
     (tmp_path / "wal.log").write_bytes(good + bytes(torn) + binary.encode_op("put", b"d", b"4"))
-    rows = spark.read.format("kvlog").load(str(tmp_path / "wal.log")).orderBy("seq").collect()
+    rows = binary.read_log(spark, str(tmp_path / "wal.log")).orderBy("seq").collect()
     assert [(r["seq"], r["batch_id"], r["op"], bytes(r["key"]), r["value"] and bytes(r["value"])) for r in rows] == [(0, None, "put", b"a", b"1"), (1, 0, "put", b"b", b"\xff\x00"), (2, 0, "del", b"a", None)]
     assert [r[3] for r in binary.decode_log(bytes([2]) + binary.encode_op("put", b"x", b"") + bytes([2]) + binary.encode_op("put", b"y", b"") + bytes([3]))] == [b"y"]
     assert binary.valid_bytes(good + bytes(torn)) == len(good) and binary.valid_bytes(good[:-1]) == len(binary.encode_op("put", b"a", b"1"))
@@ -213,19 +211,19 @@ def test_binary_formats(spark, tmp_path):
     (tmp_path / "seg").mkdir()
     content = binary.encode_segment([(b"b", b""), (b"a", None), (b"c", b"33")])
     (tmp_path / "seg/7.sst").write_bytes(content)
-    rows = spark.read.format("kvsegment").load(str(tmp_path / "seg")).orderBy("key").collect()
+    rows = binary.read_segments(spark, str(tmp_path / "seg")).orderBy("key").collect()
     assert [(r["file_no"], bytes(r["key"]), r["is_tombstone"], r["offset"]) for r in rows] == [(7, b"a", True, 0), (7, b"b", False, 6), (7, b"c", False, 16)]
     frame = spark.createDataFrame([(0, None, "put", "b", "", 7), (1, None, "del", "a", None, 7), (2, None, "put", "c", "33", 7)], LOG)
     assert segments.file_sizes(frame).first()["file_size"] == len(content)
     (tmp_path / "seg/12.sst").write_bytes(binary.encode_segment([(b"b", None), (b"a", b"new")]))
-    assert pairs(reads.live(binary.as_log(spark.read.format("kvsegment").load(str(tmp_path / "seg"))))) == {"a": "new", "c": "33"}
+    assert pairs(reads.live(binary.as_log(binary.read_segments(spark, str(tmp_path / "seg"))))) == {"a": "new", "c": "33"}
     with pytest.raises(ValueError):
         list(binary.decode_segment(b"short"))
 
     manifest = binary.encode_manifest({0: [("7.sst", len(content), b"a", b"c", 7)], 1: []})
     (tmp_path / "seg/MANIFEST-1").write_bytes(manifest)
     (tmp_path / "seg/CURRENT").write_text("MANIFEST-1\n")
-    row = spark.read.format("kvmanifest").load(str(tmp_path / "seg")).first()
+    row = binary.read_manifest(spark, str(tmp_path / "seg")).first()
     assert (row["level"], row["filename"], row["version"]) == (0, "7.sst", 7)
     with pytest.raises(ValueError):
         list(binary.decode_manifest(manifest[:-3]))
