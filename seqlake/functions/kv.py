@@ -62,3 +62,19 @@ def bloom_position(key: Column, i: Column, bits: Column) -> Column:
     digest = F.md5(key.cast("binary"))
     half = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("long")
     return F.pmod(F.pmod(half(1), bits) + i.cast("long") * F.pmod(half(16), bits), bits)
+
+
+def bloom_has(packed: Column, keys: Column, bits: Column, hashes: Column) -> Column:
+    """Of each of the array ``keys`` whether the packed filter may contain it: array of (key, may_contain)."""
+
+    def has(filter_: Column, key: Column) -> Column:
+        def bit(i: Column) -> Column:
+            at = bloom_position(key, i, bits)
+            byte = F.conv(F.hex(F.substring(filter_, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            return F.getbit(byte, (at % 8).cast("int")) == 1
+
+        return F.forall(F.sequence(F.lit(0), hashes - 1), bit)
+
+    # as the variable of a lambda the filter is not copied at each use
+    each = F.transform(F.array(packed), lambda f: F.transform(keys, lambda key: F.struct(key.alias("key"), has(f, key).alias("may_contain"))))
+    return F.element_at(each, 1)

@@ -68,6 +68,18 @@ def islands(catalog: DataFrame, level: int = 1) -> DataFrame:
     return marked.withColumn("island", (F.sum("break").over(by_key) - 1).cast("long")).select("file_no", "first_key", "last_key", "island")
 
 
+def merge_islands(entries: DataFrame, catalog: DataFrame, level: int = 1) -> DataFrame:
+    """island, files, key, value, is_tombstone, seq: newest-wins merge of the files of each island of ``level``.
+
+    ``entries`` has file_no, key, value, op and seq. An island's files share keys with no other island, so each island is
+    merged by itself, and what lies in one file only is merged with nothing.
+    """
+    placed = islands(catalog, level).withColumn("files", F.count(F.lit(1)).over(Window.partitionBy("island"))).select("file_no", "island", "files")
+    held = F.struct("value", (F.col("op") == "del").alias("is_tombstone"))
+    newest = entries.join(placed, "file_no").groupBy("island", "files", "key").agg(F.max_by(held, F.col("seq")).alias("e"), F.max("seq").alias("seq"))
+    return newest.select("island", "files", "key", "e.value", "e.is_tombstone", "seq")
+
+
 def compact(log: DataFrame, merged: Column, older: Column | None = None) -> DataFrame:
     """The rows that compacting the files of condition ``merged`` writes: newest version of each key.
 

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate, islice
+
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqlake.functions.kv import bloom_bits, bloom_hashes, bloom_position, entry_bytes, size
+from seqlake.functions.kv import bloom_bits, bloom_has, bloom_hashes, bloom_position, entry_bytes, size
+
+#: Catalog rows (some 100 bytes each) that are broadcast at a time.
+CATALOG_ROWS = 200_000
 
 
 def entries(log: DataFrame) -> DataFrame:
@@ -75,11 +84,53 @@ def bloom_packed(log: DataFrame) -> DataFrame:
     return rows.groupBy("file_no", "hashes", "bits").agg(F.unhex(F.array_join(packed, "")).alias("packed"))
 
 
-def bloom_probe(log: DataFrame, keys: DataFrame) -> DataFrame:
-    """file_no, key, may_contain for each of ``keys`` and each segment."""
-    params = bloom_params(log)
-    # every key is asked of every segment; the catalog of segments is the small side
-    asked = keys.select("key").distinct().join(params.select("file_no", "bits", "hashes"), F.lit(True), "inner")
-    set_bits = bloom_filters(log).withColumn("hit", F.lit(1))
-    joined = _positions(asked).join(set_bits, ["file_no", "position"], "left")
-    return joined.groupBy("file_no", "key", "hashes").agg(F.count("hit").alias("hits")).select("file_no", "key", (F.col("hits") == F.col("hashes")).alias("may_contain"))
+def bloom_unpacked(packed: DataFrame) -> DataFrame:
+    """file_no, position: the bits that are set in filters of ``bloom_packed``."""
+    byte = F.conv(F.hex(F.substring("packed", F.expr("cast(position div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
+    each = packed.select("file_no", "packed", F.explode(F.expr("sequence(0L, bits - 1)")).alias("position"))
+    return each.where(F.getbit(byte, (F.col("position") % 8).cast("int")) == 1).select("file_no", "position")
+
+
+def candidates(keys: DataFrame, catalog: DataFrame, at_once: int = CATALOG_ROWS) -> DataFrame:
+    """file_no, key for each of ``keys`` (key) and each file of ``catalog`` (file_no, first_key, last_key) whose range holds it.
+
+    The catalog is handed to the tasks in parts of at most ``at_once`` rows, ordered by first key, and each key is looked
+    up in it by bisection: keys and files never meet in pairs.
+    """
+    spark, schema = keys.sparkSession, "file_no long, key string"
+    ordered = catalog.select("first_key", "last_key", F.col("file_no").cast("long").alias("file_no")).orderBy("first_key", "file_no").toLocalIterator()
+    found = spark.createDataFrame([], schema)
+    while part := list(islice(ordered, at_once)):
+        firsts = [r["first_key"].encode() for r in part]
+        # the farthest key that a file up to this one reaches: where it is behind, no file before can hold the key
+        reach = list(accumulate((r["last_key"].encode() for r in part), max))
+        shared = spark.sparkContext.broadcast((firsts, reach, [r["last_key"].encode() for r in part], [r["file_no"] for r in part]))
+
+        def look(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            firsts, reach, lasts, numbers = shared.value
+            for batch in batches:
+                out: tuple[list, list] = ([], [])
+                for text in batch.column(0).to_pylist():
+                    key = text.encode()
+                    at = bisect_right(firsts, key) - 1
+                    while at >= 0 and reach[at] >= key:
+                        if lasts[at] >= key:
+                            out[0].append(numbers[at])
+                            out[1].append(text)
+                        at -= 1
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string())], names=["file_no", "key"])
+
+        found = found.unionByName(keys.select("key").where("key is not null").distinct().mapInArrow(look, schema))
+    return found
+
+
+def bloom_probe(log: DataFrame, keys: DataFrame, block: int = 4096) -> DataFrame:
+    """file_no, key, may_contain for each of ``keys`` and each segment whose key range holds it.
+
+    Key ranges prune first; then a filter meets ``block`` keys at a time, and bits are tested in it, where they are.
+    """
+    asked = candidates(keys, metadata(log))
+    sizes = asked.groupBy("file_no").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    dealt = asked.join(sizes, "file_no").groupBy("file_no", F.pmod(F.xxhash64("key"), "blocks").alias("block")).agg(F.collect_list("key").alias("keys"))
+    met = dealt.join(bloom_packed(log), "file_no")
+    return met.select("file_no", F.explode(bloom_has(F.col("packed"), F.col("keys"), F.col("bits"), F.col("hashes"))).alias("e")).select("file_no", "e.key", "e.may_contain")

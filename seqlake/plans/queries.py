@@ -287,7 +287,10 @@ def bloom_bits(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     f"""WITH {EVENTS}, {_BLOOM.format(log='events_log')},
 bits AS (SELECT DISTINCT file_no, {_POSITION} AS position FROM (SELECT DISTINCT file_no, key FROM events_log) JOIN params USING (file_no), range(30) r(i) WHERE i < hashes),
-asked AS (SELECT file_no, key, hashes, {_POSITION} AS position FROM (SELECT printf('u:%08d', c_custkey) AS key FROM customer), params, range(30) r(i) WHERE i < hashes)
+ranges AS (SELECT file_no, min(key) AS first_key, max(key) AS last_key FROM events_log GROUP BY file_no),
+asked AS (
+  SELECT file_no, key, hashes, {_POSITION} AS position
+  FROM (SELECT DISTINCT printf('u:%08d', c_custkey) AS key FROM customer) JOIN ranges ON key BETWEEN first_key AND last_key JOIN params USING (file_no), range(30) r(i) WHERE i < hashes)
 SELECT file_no, key, count(b.position) = any_value(hashes) AS may_contain FROM asked LEFT JOIN bits b USING (file_no, position) GROUP BY file_no, key"""
 )
 def bloom_probe(spark: SparkSession, sf: str) -> DataFrame:
@@ -410,9 +413,37 @@ def manifest_latest(spark: SparkSession, sf: str) -> DataFrame:
     return manifests.where(F.col("snapshot") == newest_one).select("snapshot", "level", "file_no", "first_key", "last_key")
 
 
+@register(
+    f"WITH {EVENTS}, {_BLOOM.format(log='events_log')} SELECT DISTINCT file_no, {_POSITION} AS position FROM (SELECT DISTINCT file_no, key FROM events_log) JOIN params USING (file_no), range(30) r(i) WHERE i < hashes"
+)
+def bloom_read_back(spark: SparkSession, sf: str) -> DataFrame:
+    return segments.bloom_unpacked(segments.bloom_packed(fx.kv_events(spark, sf)))
+
+
+@register(
+    f"""WITH {ORDERS}, {CATALOG}, m AS (SELECT *, CASE WHEN max(last_key) OVER (ORDER BY first_key, last_key, file_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= first_key THEN 0 ELSE 1 END AS b FROM catalog WHERE level = 1),
+i AS (SELECT file_no, first_key, last_key, sum(b) OVER (ORDER BY first_key, last_key, file_no) - 1 AS island FROM m),
+r AS (SELECT i.island, o.key, o.op, o.seq FROM orders_log o JOIN i ON o.key BETWEEN i.first_key AND i.last_key),
+w AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY island, key ORDER BY seq DESC) = 1)
+SELECT island::BIGINT AS island, (SELECT count(*) FROM i WHERE i.island = w.island) AS files, min(key) AS first_key, max(key) AS last_key, count(*) AS entries,
+       count(*) FILTER (op = 'put') AS live_entries, sum(seq)::BIGINT AS seq_sum FROM w GROUP BY island"""
+)
+def merge_by_island(spark: SparkSession, sf: str) -> DataFrame:
+    catalog = fx.kv_catalog(spark, sf)
+    files = catalog.where("level = 1").select("file_no", "first_key", "last_key")  # ten rows
+    entries = fx.kv_orders(spark, sf).drop("file_no").join(F.broadcast(files), F.col("key").between(F.col("first_key"), F.col("last_key")))
+    merged = levels.merge_islands(entries.select("file_no", "key", "value", "op", "seq"), catalog)
+    live = F.sum((~F.col("is_tombstone")).cast("long")).alias("live_entries")
+    return merged.groupBy("island", "files").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.count(F.lit(1)).alias("entries"), live, F.sum("seq").alias("seq_sum"))
+
+
 def queries() -> dict[str, Query]:
+    """All registered queries, those over written stores too."""
+    from seqlake.plans import stored  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_ORACLE)

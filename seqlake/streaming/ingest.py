@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from seqlake.operators.reads import latest
 from seqlake.store import Store
 
 #: What a stream of operations has: ``seq`` is unique, and its order is the order of arrival.
@@ -33,22 +29,9 @@ def into_store(stream: DataFrame, store: Store, checkpoint: str) -> DataStreamWr
 
 
 def live_view(stream: DataFrame) -> DataFrame:
-    """key, value, is_tombstone, seq: the newest row of each key that a micro-batch has changed, from per-key state.
+    """key, value, is_tombstone, seq: the newest row of each key that a micro-batch has touched.
 
-    Rows of a key may arrive in any order; one that is older than the state changes nothing. Use output mode update.
+    Rows of a key may arrive in any order: one that is older than the state leaves it as it is. A stateful arg-max, so a
+    micro-batch sends one row for each key and task, and all stays in the JVM. Use output mode update.
     """
-
-    def newest(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else None
-        changed = False
-        for frame in frames:
-            row = frame.loc[frame["seq"].idxmax()]
-            if best is None or row["seq"] > best[0]:
-                gone = row["op"] == "del"
-                best, changed = (int(row["seq"]), None if gone else row["value"], bool(gone)), True
-        if changed:
-            state.update(best)
-            yield pd.DataFrame({"key": [key[0]], "value": [best[1]], "is_tombstone": [best[2]], "seq": [best[0]]})
-
-    kept = stream.select("seq", "op", "key", "value")
-    return kept.groupBy("key").applyInPandasWithState(newest, "key string, value string, is_tombstone boolean, seq long", "seq long, value string, is_tombstone boolean", "update", GroupStateTimeout.NoTimeout)
+    return latest(stream)

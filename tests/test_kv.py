@@ -80,6 +80,42 @@ def test_bloom_never_denies_a_key(spark):
     assert there <= found and len(found - there) < 60
 
 
+def test_keys_find_the_files_that_can_hold_them(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abé", k=rng.randrange(1, 5)))
+    files = [(k, *sorted((word(), word()), key=str.encode)) for k in range(40)] + [(40, "a", "zz"), (41, "q", "q")]
+    keys = sorted({word() for _ in range(60)} | {"", "q", "zzz", "a"})
+    catalog = spark.createDataFrame(files, "file_no long, first_key string, last_key string")
+    asked = spark.createDataFrame([(k,) for k in [*keys, keys[3], None]], "key string")
+    want = sorted((f, k) for f, a, b in files for k in keys if a.encode() <= k.encode() <= b.encode())
+    for at_once in (1000, 7):
+        assert sorted(map(tuple, segments.candidates(asked, catalog, at_once).collect())) == want
+    assert segments.candidates(asked, catalog.limit(0)).count() == 0
+
+
+def test_filters_meet_keys_block_by_block(spark):
+    frame = log(spark, *[("put", f"key{k:04d}", "") for k in range(200)]).withColumn("file_no", F.lit(3).cast("long"))
+    asked = spark.createDataFrame([(f"key{k:04d}",) for k in range(190)] + [("key0005x",)], "key string")
+    few, many = (sorted(map(tuple, segments.bloom_probe(frame, asked, block).collect())) for block in (7, 4096))
+    assert few == many and len(few) == 191 and all(may for _, key, may in few if len(key) == 7)
+    packed = segments.bloom_packed(frame)
+    assert sorted(map(tuple, segments.bloom_unpacked(packed).collect())) == sorted(map(tuple, segments.bloom_filters(frame).collect()))
+
+
+def test_large_flushes_are_cut_by_key(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), Limits(segment_bytes=1000))
+    frame = log(spark, *[("put" if k % 5 else "del", f"k{k % 97:03d}", "v" * 20 if k % 5 else None) for k in range(300)])
+    store.append(frame)
+    store.flush()
+    parts = sorted((s.first_key, s.last_key) for s in store.snapshot.segments)
+    assert len(parts) > 3 and all(a[1] < b[0] for a, b in zip(parts, parts[1:])) and {s.level for s in store.snapshot.segments} == {0}
+    assert pairs(Store(spark, store.root, store.limits).scan("", "z")) == pairs(reads.live(frame))
+    store.put("k001", "new")
+    store.flush()
+    store.compact()
+    assert store.value("k001") == "new" and {s.level for s in store.snapshot.segments} == {1}
+
+
 def test_islands_and_overlaps(spark):
     rows = [(1, 0, "a", "c"), (1, 1, "c", "f"), (1, 2, "g", "h"), (0, 3, "b", "g"), (0, 4, "x", "y")]
     catalog = spark.createDataFrame(rows, "level int, file_no long, first_key string, last_key string")
