@@ -89,10 +89,24 @@ def budgets(leaves: DataFrame, total: int | None = None, epochs: int = 2, weight
 
 
 def mix(
-    df: DataFrame, domain: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", total: int | None = None, epochs: int = 2, seed: int = 42, weights: Mapping[tuple[str, ...], int] | None = None
+    df: DataFrame,
+    domain: Column,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    source_col: str = "source",
+    total: int | None = None,
+    epochs: int = 2,
+    seed: int = 42,
+    weights: Mapping[tuple[str, ...], int] | None = None,
+    tokens_col: str | None = None,
 ) -> DataFrame:
-    """One row for each row of ``df``: doc_id, domain, lang, source, n_tokens, budget (its leaf's) and copies (0 to epochs)."""
-    docs = df.select(col(df, id_col).alias("doc_id"), _name(domain).alias("domain"), _name(col(df, lang_col)).alias("lang"), _name(col(df, source_col)).alias("source"), words(col(df, text_col)).cast("long").alias("n_tokens"))
+    """One row for each row of ``df``: doc_id, domain, lang, source, n_tokens, budget (its leaf's) and copies (0 to epochs).
+
+    Tokens are the words between ASCII white space, or what ``tokens_col`` says (a tokenizer's counts; null or below 0 is 0).
+    """
+    tokens = words(col(df, text_col)) if tokens_col is None else F.greatest(F.coalesce(col(df, tokens_col), F.lit(0)), F.lit(0))
+    docs = df.select(col(df, id_col).alias("doc_id"), _name(domain).alias("domain"), _name(col(df, lang_col)).alias("lang"), _name(col(df, source_col)).alias("source"), tokens.cast("long").alias("n_tokens"))
     docs = cut(docs)  # small columns only; texts are read and counted once
     leaves = docs.groupBy(*LEVELS).agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))
     plan = cut(budgets(leaves, total, epochs, weights))
