@@ -6,16 +6,15 @@ a stage repeats (documents that the mixture reads for a second epoch) are repeat
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from seqlake.llm import byte_bpe, exact_dedup, lang_id, mixing, simhash
-from seqlake.llm.common import ensure_checkpoint_dir, table
+from seqlake.llm.common import table
 from seqlake.llm.pretokens import UNIT_PATTERN
 from seqlake.llm.queries import WEIGHTS, domain, vocabulary
-from seqlake.store import Files
+from seqlake.store import Files, scratch
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +55,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written in the shared folder and read again by the next."""
+    """All stages over ``documents``, each written in the shared folder and read again by the next.
+
+    A table goes when the next is written; the last, which the result reads, goes when the driver's JVM ends.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     files = Files(spark, folder)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
