@@ -155,11 +155,12 @@ WITH p AS (
                  WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
                  WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p
 ), l AS (
-  SELECT *, CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruled,
+  SELECT *, CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS ruled, substr(md5(url), 1, 1) < '4' AS apart,
          list_transform(string_split(regexp_replace(lower(url), '[^a-z0-9./\-_:?=&%#~*]', '*', 'g'), ''), lambda ch: strpos('{url_filter.ALPHABET}', ch) - 1) AS codes FROM r
-), g AS (
-  SELECT page_id, ruled, CASE WHEN i > 2 THEN codes[i - 2] ELSE 47 END AS a, CASE WHEN i > 1 THEN codes[i - 1] ELSE 47 END AS b, codes[i] AS c
-  FROM (SELECT page_id, ruled, CASE WHEN url = '' THEN [] ELSE codes END AS codes, unnest(CASE WHEN url = '' THEN [] ELSE range(1, len(codes) + 1) END) AS i FROM l)
+), parts AS (SELECT count(DISTINCT (ruled, apart)) = 4 AS two FROM l WHERE ruled IS NOT NULL),
+g AS (
+  SELECT page_id, CASE WHEN NOT (two AND apart) THEN ruled END AS ruled, CASE WHEN i > 2 THEN codes[i - 2] ELSE 47 END AS a, CASE WHEN i > 1 THEN codes[i - 1] ELSE 47 END AS b, codes[i] AS c
+  FROM (SELECT page_id, ruled, apart, CASE WHEN url = '' THEN [] ELSE codes END AS codes, unnest(CASE WHEN url = '' THEN [] ELSE range(1, len(codes) + 1) END) AS i FROM l), parts
 ), v AS (SELECT unnest(['allow', 'block']) AS v),
 k3 AS (SELECT ruled AS v, a, b, c, count(*) AS n FROM g WHERE ruled IS NOT NULL GROUP BY ALL),
 k2 AS (SELECT v, b, c, sum(n) AS n FROM k3 GROUP BY ALL), k1 AS (SELECT v, c, sum(n) AS n FROM k3 GROUP BY ALL),
@@ -176,11 +177,11 @@ q AS (
   SELECT a, b, c, round((sum(CASE v WHEN 'allow' THEN ln({_URL_CHANCE}) ELSE -ln({_URL_CHANCE}) END)) * 1e6)::BIGINT AS micro
   FROM (SELECT *, CASE WHEN in2 > 0 THEN (n2 + d2 * p1) / (in2 + d2) ELSE p1 END AS p2 FROM q) GROUP BY a, b, c
 ), s AS (
-  SELECT l.page_id, host, path, rule, ruled, coalesce(micro, 0)::BIGINT AS micro
+  SELECT l.page_id, host, path, rule, ruled, apart, coalesce(micro, 0)::BIGINT AS micro
   FROM l LEFT JOIN (SELECT page_id, floor(sum(micro)::DOUBLE / count(*)) AS micro FROM g JOIN m USING (a, b, c) GROUP BY page_id) t USING (page_id)
 ), c AS (
   SELECT ruled, sum(micro)::DOUBLE / count(*) AS mean, sqrt(greatest(sum(micro::HUGEINT * micro)::DOUBLE / count(*) - (sum(micro)::DOUBLE / count(*)) ** 2, 1.0)) AS sd
-  FROM s WHERE ruled IS NOT NULL GROUP BY ruled
+  FROM s, parts WHERE ruled IS NOT NULL AND (apart OR NOT two) GROUP BY ruled
 ), t AS (
   SELECT round((x.mean * y.sd + y.mean * x.sd) / (x.sd + y.sd)) AS threshold FROM c x, c y WHERE x.ruled = 'allow' AND y.ruled = 'block'
 )

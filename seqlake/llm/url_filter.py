@@ -4,8 +4,10 @@ Rules name a host (with all its subdomains) and the beginning of a path; the lon
 that rules decide also teach two variable-order Markov models of characters, one of allowed and one of blocked URLs: the
 chance of a character after the two before it is smoothed by the chance after one, that by the plain chance, and that by
 the uniform one, each by how often its context was seen (Witten and Bell). A URL without a rule is allowed if its
-log-likelihood difference per character is at or above a threshold, calibrated on the same labelled URLs: the point
-between the two classes' means that lies the same number of standard deviations from both.
+log-likelihood difference per character is at or above a threshold: the point between the two classes' means that lies
+the same number of standard deviations from both. A quarter of the labelled URLs, by their MD5, teach no model and
+calibrate the threshold, as a model's own URLs look better than new ones; where a class has none in either part, all
+labelled URLs serve for both.
 
 Everything is SQL functions. Characters fold into an alphabet of 48, so a model has 48^3 numbers at most whatever the
 input; the difference of the two models is one array that a scalar subquery hands to the scoring projection, so nothing
@@ -112,11 +114,12 @@ def judge(df: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: st
     rows = df.select(col(df, id_col).alias("page_id"), url.alias("url"), host.alias("host"), path.alias("path"))
     name, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     rows = rows.select("*", name.alias("rule"), verdict.alias("ruled"), _grams(codes(F.col("url"))).alias("grams"))
-    labelled = rows.where("ruled is not null").select("grams", F.col("ruled").alias("verdict"))
-    kinds = {r["verdict"] for r in labelled.select("verdict").distinct().collect()}  # two values at most
-    if kinds != {"allow", "block"}:
+    labelled = rows.where("ruled is not null").select("grams", F.col("ruled").alias("verdict"), (F.substring(F.md5(F.col("url").cast("binary")), 1, 1) < "4").alias("apart"))
+    kinds = {(r["verdict"], r["apart"]) for r in labelled.select("verdict", "apart").distinct().collect()}  # four rows at most
+    if {v for v, _ in kinds} != {"allow", "block"}:
         return rows.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
-    model = cut(difference(labelled))
+    teaching, calibrating = (labelled.where("not apart"), labelled.where("apart")) if len(kinds) == 4 else (labelled, labelled)
+    model = cut(difference(teaching.select("grams", "verdict")))
 
     def scored(frame: DataFrame) -> DataFrame:
         total = F.aggregate("grams", F.lit(0).cast("long"), lambda s, g: s + F.element_at(F.col("model"), g + 1))
@@ -124,7 +127,7 @@ def judge(df: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: st
         return frame.withColumn("micro", F.when(F.size("grams") > 0, F.expr("0L") + F.floor(total / F.size("grams"))).otherwise(F.lit(0)).cast("long")).drop("model", "grams")
 
     m = F.col("micro").cast("decimal(38,0)")
-    stats = scored(labelled).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.sum(m).alias("s"), F.sum((m * m).cast("decimal(38,0)")).alias("q")).collect()
+    stats = scored(calibrating.select("grams", "verdict")).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"), F.sum(m).alias("s"), F.sum((m * m).cast("decimal(38,0)")).alias("q")).collect()
     found = {r["verdict"]: (int(r["n"]), int(r["s"]), int(r["q"])) for r in stats}
     mean = {v: s / n for v, (n, s, q) in found.items()}
     sd = {v: max(q / n - (s / n) ** 2, 1.0) ** 0.5 for v, (n, s, q) in found.items()}

@@ -420,8 +420,10 @@ def judge_by_hand(urls, rules):
     size = url_filter.SIZE
     code = lambda u: [url_filter.ALPHABET.find(c if c in url_filter.ALPHABET else "*") for c in (u or "").lower()]
     seen = {v: [Counter() for _ in range(3)] for v in ("allow", "block")}
+    apart = lambda u: hashlib.md5((u or "").encode()).hexdigest()[0] < "4"
+    two = len({(r.verdict, apart(u)) for u, (_, _, r) in zip(urls, parts) if r}) == 4
     for u, (_, _, r) in zip(urls, parts):
-        if r:
+        if r and not (two and apart(u)):
             ahead = [size - 1, size - 1, *code(u)]
             for k in range(2, len(ahead)):
                 for order in range(3):
@@ -452,7 +454,7 @@ def judge_by_hand(urls, rules):
     scores = [score(u) for u in urls]
     stats = {}
     for v in ("allow", "block"):
-        xs = [s for s, (_, _, r) in zip(scores, parts) if r and r.verdict == v]
+        xs = [s for s, u, (_, _, r) in zip(scores, urls, parts) if r and r.verdict == v and (apart(u) or not two)]
         mean = sum(xs) / len(xs)
         stats[v] = mean, max(sum(x * x for x in xs) / len(xs) - mean**2, 1.0) ** 0.5
     (a, sa), (b, sb) = stats["allow"], stats["block"]
