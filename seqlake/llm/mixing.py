@@ -7,8 +7,9 @@ seeded epochs: in every epoch its documents come in another order, and the leaf
 that fits its budget: whole epochs first, then the first documents of the next one.
 
 All arithmetic is exact: integer weights and tokens, rounded down, so a node may leave up to one token per child unused.
-Only sums per leaf and per hash bin are shuffled to one place; the documents of a hot leaf stay spread, and an order is
-needed only among documents of the one bin in which a leaf's budget ends.
+Only sums per leaf and per hash bin are shuffled to one place, and an order is needed only among documents of the one bin
+in which a leaf's budget ends. What comes of it is one row for each leaf: its whole epochs, and the place in the next one
+up to which it reads. Documents compare their own place with that, so they are never moved.
 
 Defined results: null domain, language or source count as ``unknown``; a null or empty text has 0 tokens and comes
 along with the prefix it falls into, and a leaf without tokens gives nothing; documents with the same id have the same place and are taken or left together; a
@@ -17,7 +18,7 @@ weight of 0 takes nothing; an empty table gives an empty result; other columns a
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ from seqlake.llm.common import col, cut, fresh, words
 LEVELS = ("domain", "lang", "source")
 #: Hexadecimal digits of a document's place that make its bin: 4096 bins an epoch and leaf.
 DIGITS = 3
-#: Leaves (rows of some 100 bytes) up to which the plan is broadcast.
+#: Leaves (rows of some 200 bytes) up to which the plan is broadcast.
 BROADCAST_LEAVES = 20_000
 _WHOLE = "decimal(38,0)"
 
@@ -88,6 +89,11 @@ def budgets(leaves: DataFrame, total: int | None = None, epochs: int = 2, weight
     return third.select(*LEVELS, "docs", "tokens", F.col("budget").cast("long").alias("budget"))
 
 
+def _documents(df: DataFrame, domain: Column, id_col: str, text_col: str, lang_col: str, source_col: str, tokens_col: str | None) -> DataFrame:
+    tokens = words(col(df, text_col)) if tokens_col is None else F.greatest(F.coalesce(col(df, tokens_col), F.lit(0)), F.lit(0))
+    return df.select(col(df, id_col).alias("doc_id"), _name(domain).alias("domain"), _name(col(df, lang_col)).alias("lang"), _name(col(df, source_col)).alias("source"), tokens.cast("long").alias("n_tokens"))
+
+
 def mix(
     df: DataFrame,
     domain: Column,
@@ -105,39 +111,71 @@ def mix(
 
     Tokens are the words between ASCII white space, or what ``tokens_col`` says (a tokenizer's counts; null or below 0 is 0).
     """
-    tokens = words(col(df, text_col)) if tokens_col is None else F.greatest(F.coalesce(col(df, tokens_col), F.lit(0)), F.lit(0))
-    docs = df.select(col(df, id_col).alias("doc_id"), _name(domain).alias("domain"), _name(col(df, lang_col)).alias("lang"), _name(col(df, source_col)).alias("source"), tokens.cast("long").alias("n_tokens"))
+    docs = _documents(df, domain, id_col, text_col, lang_col, source_col, tokens_col)
     docs = cut(docs)  # small columns only; texts are read and counted once
+    plan, few = _plan(docs, total, epochs, seed, weights)
+    met = docs.join(few(plan), list(LEVELS), "left")
+    return met.select("doc_id", *LEVELS, "n_tokens", "budget", _copies(seed, F.col("doc_id"), {c: F.col(c) for c in PLAN}).alias("copies"))
+
+
+#: What a leaf's row of the plan says: whole epochs, tokens of the next one, the bin in which they end, and the last place
+#: of that bin that still fits (null: none does).
+PLAN = ("whole", "part", "last", "edge")
+
+
+def _place(seed: int, whole: Column, doc_id: Column) -> Column:
+    """A document's place in the epoch after ``whole`` ones."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), whole.cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+
+
+def _copies(seed: int, doc_id: Column, plan: Mapping[str, Column]) -> Column:
+    place = _place(seed, plan["whole"], doc_id)
+    read = (F.substring(place, 1, DIGITS) < plan["last"]) | (place <= plan["edge"])
+    return (plan["whole"] + F.when((plan["part"] > 0) & read, 1).otherwise(0)).cast("long")
+
+
+def _plan(docs: DataFrame, total: int | None, epochs: int, seed: int, weights: Mapping[tuple[str, ...], int] | None) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Budget and PLAN of each leaf of ``docs`` (doc_id, n_tokens and LEVELS), and what to join it with."""
     leaves = docs.groupBy(*LEVELS).agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))
     plan = cut(budgets(leaves, total, epochs, weights))
     small = plan.count() <= BROADCAST_LEAVES  # beyond it a shuffled join, whose hot leaves AQE splits
     few = F.broadcast if small else lambda frame: frame
-    plan = plan.withColumn("whole", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0))).withColumn("part", F.when(F.col("tokens") > 0, F.expr("budget % tokens")).otherwise(F.lit(0)))
-    # the place in the epoch that the budget ends in
-    placed = docs.join(few(plan.select(*LEVELS, "budget", "whole", "part")), list(LEVELS), "left").withColumn("place", F.md5(F.concat(F.lit(f"{seed}:"), F.col("whole").cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")))
-    placed = placed.withColumn("bin", F.substring("place", 1, DIGITS))
-    bins = placed.where("part > 0").groupBy(*LEVELS, "bin", "part").agg(F.sum("n_tokens").alias("here"))
-    upto = Window.partitionBy(*LEVELS).orderBy("bin")
-    last = bins.withColumn("upto", F.sum("here").over(upto)).where("upto > part")
-    last = last.groupBy(*LEVELS).agg(F.min(F.struct("bin", (F.col("upto") - F.col("here")).alias("before"))).alias("m")).select(*LEVELS, F.col("m.bin").alias("last"), F.col("m.before").alias("before"))
-    last = cut(last)
-    placed = placed.join(few(last), list(LEVELS), "left")
-    whole = placed.where("part = 0 or last is null or bin <> last").withColumn("more", F.expr("case when part > 0 and (last is null or bin < last) then 1 else 0 end"))
+    plan = plan.select(*LEVELS, "budget", F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0)).alias("whole"), F.when(F.col("tokens") > 0, F.expr("budget % tokens")).otherwise(F.lit(0)).alias("part"))
+    placed = docs.join(few(plan.where("part > 0")), list(LEVELS)).withColumn("place", _place(seed, F.col("whole"), F.col("doc_id")))
+    placed = placed.withColumn("bin", F.substring("place", 1, DIGITS)).select(*LEVELS, "part", "n_tokens", "place", "bin")
+    bins = placed.groupBy(*LEVELS, "bin", "part").agg(F.sum("n_tokens").alias("here"))
+    last = bins.withColumn("upto", F.sum("here").over(Window.partitionBy(*LEVELS).orderBy("bin"))).where("upto > part")
+    last = last.groupBy(*LEVELS).agg(F.min(F.struct("bin", (F.col("upto") - F.col("here")).alias("before"))).alias("m"))
+    last = cut(last.select(*LEVELS, F.col("m.bin").alias("last"), F.col("m.before").alias("before")))
     within = Window.partitionBy(*LEVELS).orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    edge = placed.where("part > 0 and bin = last").withColumn("more", F.when(F.col("before") + F.sum("n_tokens").over(within) <= F.col("part"), 1).otherwise(0))
-    both = whole.unionByName(edge)
-    return both.select("doc_id", *LEVELS, "n_tokens", "budget", (F.col("whole") + F.col("more")).cast("long").alias("copies"))
+    ending = placed.join(few(last), list(LEVELS)).where("bin = last").withColumn("upto", F.col("before") + F.sum("n_tokens").over(within))
+    edge = ending.where("upto <= part").groupBy(*LEVELS).agg(F.max("place").alias("edge"))
+    return cut(plan.join(last.drop("before"), list(LEVELS), "left").join(edge, list(LEVELS), "left").select(*LEVELS, "budget", *PLAN)), few
 
 
-def take(df: DataFrame, domain: Column, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source", **options: object) -> DataFrame:
+def take(
+    df: DataFrame,
+    domain: Column,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    source_col: str = "source",
+    total: int | None = None,
+    epochs: int = 2,
+    seed: int = 42,
+    weights: Mapping[tuple[str, ...], int] | None = None,
+    tokens_col: str | None = None,
+) -> DataFrame:
     """The rows of ``df``, all columns, each as often as ``mix`` says: rows of one id and leaf have the same copies."""
-    chosen = mix(df, domain, id_col, lang_col=lang_col, source_col=source_col, **options).where("copies > 0")
-    chosen = cut(chosen.groupBy("doc_id", *LEVELS).agg(F.max("copies").alias("copies")))
-    key, copies, copy = fresh(df, "mix_id"), fresh(df, "mix_copies"), fresh(df, "mix_copy")
-    leaf = {level: fresh(df, f"mix_{level}") for level in LEVELS}
-    chosen = chosen.select(F.col("doc_id").alias(key), *[F.col(level).alias(name) for level, name in leaf.items()], F.col("copies").alias(copies))
-    same = col(df, id_col).eqNullSafe(F.col(key))
-    for c, name in zip((domain, col(df, lang_col), col(df, source_col)), leaf.values()):
-        same &= _name(c) == F.col(name)
-    joined = df.join(chosen, same)
-    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).drop(key, *leaf.values(), copies, copy)
+    docs = cut(_documents(df, domain, id_col, text_col, lang_col, source_col, tokens_col))
+    plan, few = _plan(docs, total, epochs, seed, weights)
+    names = {c: fresh(df, f"mix_{c}") for c in (*LEVELS, *PLAN)}
+    plan = plan.select(*[F.col(c).alias(name) for c, name in names.items()])
+    leaf = zip(LEVELS, (domain, col(df, lang_col), col(df, source_col)))
+    here = {level: fresh(df, f"own_{level}") for level in LEVELS}
+    rows = df.select("*", *[_name(c).alias(here[level]) for level, c in leaf])
+    same = [F.col(here[level]) == F.col(names[level]) for level in LEVELS]
+    copies = _copies(seed, col(rows, id_col), {c: F.col(names[c]) for c in PLAN})
+    met = rows.join(few(plan), same).withColumn(names["part"], copies).where(F.col(names["part"]) > 0)
+    again = met.withColumn(names["whole"], F.explode(F.sequence(F.lit(1).cast("long"), F.col(names["part"]))))
+    return again.drop(*here.values(), *names.values())
