@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+from itertools import accumulate, islice
+
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +15,9 @@ from pyspark.sql.window import Window
 from seqlake.model import LIMITS, Limits
 from seqlake.operators.reads import latest
 
+#: Catalog rows (some 100 bytes each) that are broadcast at a time.
+CATALOG_ROWS = 200_000
+
 
 def limits_frame(log: DataFrame, limits: Limits = LIMITS, levels: int | None = None) -> DataFrame:
     """level, limit_bytes of all levels."""
@@ -38,14 +47,42 @@ def find(catalog: DataFrame, key: str) -> DataFrame:
     return catalog.where((F.col("first_key") <= key) & (F.col("last_key") >= key))
 
 
-def overlaps(catalog: DataFrame, upper: int = 0, lower: int = 1) -> DataFrame:
-    """upper_file, lower_file for each pair of files of two levels whose ranges meet.
+def meeting(ranges: DataFrame, catalog: DataFrame, at_once: int = CATALOG_ROWS) -> DataFrame:
+    """file_no, name for each of ``ranges`` (name, first_key, last_key) and each file of ``catalog`` that shares a key with it.
 
-    A range join of two catalogs; only catalog rows meet, never entries.
+    The catalog is handed to the tasks in parts of at most ``at_once`` rows, ordered by first key, and each range is looked
+    up in it by bisection: ranges and files never meet in pairs.
     """
-    u = catalog.where(F.col("level") == upper).select(F.col("file_no").alias("upper_file"), F.col("first_key").alias("a"), F.col("last_key").alias("b"))
-    w = catalog.where(F.col("level") == lower).select(F.col("file_no").alias("lower_file"), F.col("first_key").alias("c"), F.col("last_key").alias("d"))
-    return u.join(w, meets(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).select("upper_file", "lower_file")
+    spark, kind = ranges.sparkSession, ranges.schema["name"].dataType.simpleString()
+    ordered = catalog.select("first_key", "last_key", F.col("file_no").cast("long").alias("file_no")).orderBy("first_key", "file_no").toLocalIterator()
+    ranges = ranges.select("name", "first_key", "last_key")
+    found = spark.createDataFrame([], f"file_no long, name {kind}")
+    while part := list(islice(ordered, at_once)):
+        firsts, lasts = ([r[c].encode() for r in part] for c in ("first_key", "last_key"))
+        # the farthest key that a file up to this one reaches: where that is behind, no file before can meet the range
+        shared = spark.sparkContext.broadcast((firsts, lasts, list(accumulate(lasts, max)), [r["file_no"] for r in part]))
+
+        def look(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            firsts, lasts, reach, numbers = shared.value
+            for batch in batches:
+                rows, files = [], []
+                for row, (first, last) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                    first, at = first.encode(), bisect_right(firsts, last.encode()) - 1
+                    while at >= 0 and reach[at] >= first:
+                        if lasts[at] >= first:
+                            rows.append(row)
+                            files.append(numbers[at])
+                        at -= 1
+                yield pa.RecordBatch.from_arrays([pa.array(files, pa.int64()), batch.column(0).take(pa.array(rows, pa.int64()))], names=["file_no", "name"])
+
+        found = found.unionByName(ranges.mapInArrow(look, f"file_no long, name {kind}"))
+    return found
+
+
+def overlaps(catalog: DataFrame, upper: int = 0, lower: int = 1) -> DataFrame:
+    """upper_file, lower_file for each pair of files of two levels whose ranges meet."""
+    above = catalog.where(F.col("level") == upper).select(F.col("file_no").alias("name"), "first_key", "last_key")
+    return meeting(above, catalog.where(F.col("level") == lower)).select(F.col("name").alias("upper_file"), F.col("file_no").alias("lower_file"))
 
 
 def overlap_counts(catalog: DataFrame) -> DataFrame:

@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from collections.abc import Iterator
-from itertools import accumulate, islice
-
-import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from seqlake.functions.kv import bloom_bits, bloom_has, bloom_hashes, bloom_position, entry_bytes, size
-
-#: Catalog rows (some 100 bytes each) that are broadcast at a time.
-CATALOG_ROWS = 200_000
+from seqlake.operators.levels import CATALOG_ROWS, meeting
 
 
 def entries(log: DataFrame) -> DataFrame:
@@ -92,36 +84,9 @@ def bloom_unpacked(packed: DataFrame) -> DataFrame:
 
 
 def candidates(keys: DataFrame, catalog: DataFrame, at_once: int = CATALOG_ROWS) -> DataFrame:
-    """file_no, key for each of ``keys`` (key) and each file of ``catalog`` (file_no, first_key, last_key) whose range holds it.
-
-    The catalog is handed to the tasks in parts of at most ``at_once`` rows, ordered by first key, and each key is looked
-    up in it by bisection: keys and files never meet in pairs.
-    """
-    spark, schema = keys.sparkSession, "file_no long, key string"
-    ordered = catalog.select("first_key", "last_key", F.col("file_no").cast("long").alias("file_no")).orderBy("first_key", "file_no").toLocalIterator()
-    found = spark.createDataFrame([], schema)
-    while part := list(islice(ordered, at_once)):
-        firsts = [r["first_key"].encode() for r in part]
-        # the farthest key that a file up to this one reaches: where it is behind, no file before can hold the key
-        reach = list(accumulate((r["last_key"].encode() for r in part), max))
-        shared = spark.sparkContext.broadcast((firsts, reach, [r["last_key"].encode() for r in part], [r["file_no"] for r in part]))
-
-        def look(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
-            firsts, reach, lasts, numbers = shared.value
-            for batch in batches:
-                out: tuple[list, list] = ([], [])
-                for text in batch.column(0).to_pylist():
-                    key = text.encode()
-                    at = bisect_right(firsts, key) - 1
-                    while at >= 0 and reach[at] >= key:
-                        if lasts[at] >= key:
-                            out[0].append(numbers[at])
-                            out[1].append(text)
-                        at -= 1
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string())], names=["file_no", "key"])
-
-        found = found.unionByName(keys.select("key").where("key is not null").distinct().mapInArrow(look, schema))
-    return found
+    """file_no, key for each of ``keys`` (key) and each file of ``catalog`` (file_no, first_key, last_key) whose range holds it."""
+    points = keys.select(F.col("key").alias("name"), F.col("key").alias("first_key"), F.col("key").alias("last_key")).where("name is not null").distinct()
+    return meeting(points, catalog, at_once).select("file_no", F.col("name").alias("key"))
 
 
 def bloom_probe(log: DataFrame, keys: DataFrame, block: int = 4096) -> DataFrame:
