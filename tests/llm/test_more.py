@@ -238,7 +238,7 @@ def test_short_and_upper_case_keys_are_spans(spark):
         assert sum(r["spans"] != "" for r in got if r["doc_id"] // 20 == k) >= 12
 
 
-def tested_by_hand(held):
+def scores_by_hand(held):
     """Encoding, length and the four p-values of one run, None if it is too short."""
     body = held.rstrip("=").replace("-", "+").replace("_", "/")
     if len(body) < 16:
@@ -279,7 +279,7 @@ def test_battery_and_cut_are_brute_force(spark):
     alphabets = [*secret_scan.ALPHABETS.values(), "0123456789ABCDEF", "abcdefgh", "0123456789", "etaoinsr-/", "AZ", "aB3"]
     runs = sorted({"".join(rng.choices(a, k=rng.choice([16, 19, 20, 27, 28, 40, 64, 130]))) + "=" * rng.choice([0, 0, 2]) for a in alphabets for _ in range(40)} | {"a" * 20, "abcdefghijklmnopqrstuvwxyz", "0a0b0c0d0e0f" * 3, "-" * 30, "==" * 15, "A1" * 20})
     got = {r["held"]: r for r in secret_scan.battery(spark.createDataFrame([(x,) for x in runs], "held string")).collect()}
-    want = {x: t for x in runs if (t := tested_by_hand(x))}
+    want = {x: t for x in runs if (t := scores_by_hand(x))}
     assert got.keys() == want.keys()
     for x, (encoding, n, *ps) in want.items():
         r = got[x]
