@@ -57,24 +57,32 @@ def bloom_hashes(n: Column) -> Column:
     return F.when(n == 0, 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(30), k))).cast("int")
 
 
+def _halves(digest: Column, bits: Column) -> Column:
+    """Two halves of an MD5, reduced."""
+    half = lambda at: F.pmod(F.conv(F.substring(digest, at, 15), 16, 10).cast("long"), bits)
+    return F.struct(half(1).alias("first"), half(16).alias("step"))
+
+
 def bloom_position(key: Column, i: Column, bits: Column) -> Column:
     """The ``i``-th bit of ``key``: double hashing with two halves of its MD5, reduced before they are multiplied."""
-    digest = F.md5(key.cast("binary"))
-    half = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("long")
-    return F.pmod(F.pmod(half(1), bits) + i.cast("long") * F.pmod(half(16), bits), bits)
+    halves = _halves(F.md5(key.cast("binary")), bits)
+    return F.pmod(halves["first"] + i.cast("long") * halves["step"], bits)
 
 
 def bloom_has(packed: Column, keys: Column, bits: Column, hashes: Column) -> Column:
     """Of each of the array ``keys`` whether the packed filter may contain it: array of (key, may_contain)."""
 
-    def has(filter_: Column, key: Column) -> Column:
-        def bit(i: Column) -> Column:
-            at = bloom_position(key, i, bits)
+    # as the variable of a lambda a value is computed once, and a filter is not copied at each use
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+
+    def has(filter_: Column, halves: Column) -> Column:
+        def bit(at: Column) -> Column:
             byte = F.conv(F.hex(F.substring(filter_, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
             return F.getbit(byte, (at % 8).cast("int")) == 1
 
-        return F.forall(F.sequence(F.lit(0), hashes - 1), bit)
+        return F.forall(F.sequence(F.lit(0).cast("long"), (hashes - 1).cast("long")), lambda i: let(F.pmod(halves["first"] + i * halves["step"], bits), bit))
+
+    def ask(filter_: Column, key: Column) -> Column:
+        return F.struct(key.alias("key"), let(F.md5(key.cast("binary")), lambda digest: let(_halves(digest, bits), lambda h: has(filter_, h))).alias("may_contain"))
 
-    # as the variable of a lambda the filter is not copied at each use
-    each = F.transform(F.array(packed), lambda f: F.transform(keys, lambda key: F.struct(key.alias("key"), has(f, key).alias("may_contain"))))
-    return F.element_at(each, 1)
+    return let(packed, lambda f: F.transform(keys, lambda key: ask(f, key)))
