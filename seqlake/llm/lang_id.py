@@ -36,6 +36,8 @@ BUCKETS = 1 << 13
 ORDERS = (1, 2, 3)
 #: Training rows of all languages together; with many languages each gets fewer.
 MOST_ROWS = 3072
+#: Rows of a batch that a stage hands on together, and rows whose features are held at a time.
+PART, BLOCK = 256, 32
 UNKNOWN = "und"
 #: Loss of the nearest codeword above which no learned language is near (at 1 no classifier says anything), and the
 #: letters that a text must have for that: fewer are no evidence.
@@ -182,7 +184,7 @@ def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the nearest codeword is FAR: then it is in no learned language. A prediction takes the place of a null language, and of another
     one if its lead is SURE. Without a labelled row to learn from, no language can be told: only rows without a letter
     go, and languages stay. The prediction travels with the row, so nothing is shuffled and repeated or null ids do no
-    harm.
+    harm. Rows are handed on PART at a time: beside the batch that it got, a worker holds no more than these.
     """
     model = fit(df, id_col, text_col, lang_col)
     at_text, at_lang = df.columns.index(text_col), df.columns.index(lang_col)
@@ -191,22 +193,24 @@ def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
-        for batch in batches:
-            keep: list[bool] = []
+        rows = np.empty((BLOCK, BUCKETS))
+        for batch in (whole.slice(at, PART) for whole in batches for at in range(0, whole.num_rows, PART)):
+            texts = [t.as_py() for t in batch.column(at_text)]
             langs = batch.column(at_lang).to_pylist()
-            for at in range(0, batch.num_rows, 256):
-                texts = [t.as_py() for t in batch.column(at_text).slice(at, 256)]
-                stay = [bool(t and _LETTER(t)) for t in texts]
-                known = [k for k, x in enumerate(stay) if x and fitted]
-                if known:
-                    for k, b, lead, loss in zip(known, *map(np.ndarray.tolist, fitted.decode(np.stack([features(texts[k]) for k in known])))):
-                        foreign = loss > FAR and sum(map(len, _LETTERS(texts[k]))) >= EVIDENCE
-                        stay[k] = fitted.langs[b] != UNKNOWN and not foreign
-                        if langs[at + k] is None or lead >= SURE:
-                            langs[at + k] = fitted.langs[b]
-                keep += stay
+            stay = [bool(t and _LETTER(t)) for t in texts]
+            known = [k for k, x in enumerate(stay) if x and fitted]
+            for block in (known[at : at + BLOCK] for at in range(0, len(known), BLOCK)):
+                for n, k in enumerate(block):
+                    rows[n] = features(texts[k])
+                for k, b, lead, loss in zip(block, *map(np.ndarray.tolist, fitted.decode(rows[: len(block)]))):
+                    foreign = loss > FAR and sum(map(len, _LETTERS(texts[k]))) >= EVIDENCE
+                    stay[k] = fitted.langs[b] != UNKNOWN and not foreign
+                    if langs[k] is None or lead >= SURE:
+                        langs[k] = fitted.langs[b]
             columns = batch.columns
             columns[at_lang] = pa.array(langs, batch.column(at_lang).type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(stay, pa.bool_()))
+        batch = columns = None
+        pa.default_memory_pool().release_unused()  # else the worker keeps what the batch took while it waits for tasks
 
     return source.mapInArrow(run, source.schema)
