@@ -25,6 +25,7 @@ from itertools import islice
 from pathlib import PurePosixPath
 
 import pyarrow as pa
+from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -238,39 +239,115 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return _decoded(spark, f"{folder}/{name}", name, "level int, filename string, file_size long, first_key binary, last_key binary, version long", lambda _, content: decode_manifest(content))
 
 
+#: Bytes that a task hands on at a time, and the most that it holds while it looks for a file's last byte.
+PIECE, HELD = 1 << 20, 1 << 28
+_RARE = "the last byte is too rare"
+
+
+def _lines(pieces: Iterable[bytes], last: bytes, held: int | None = None) -> Iterator[bytes]:
+    """What ``pieces`` are together, as lines that each lack ``last``, the byte at their end; ValueError if more than ``held``
+    bytes come without it."""
+    kept, size = [], 0
+    for piece in pieces:
+        at = piece.rfind(last)
+        if at >= 0:
+            yield b"".join([*kept, piece[:at]])
+            piece, kept, size = piece[at + 1 :], [], 0
+        kept.append(piece)
+        size += len(piece)
+        if held is not None and size > held:
+            raise ValueError(_RARE)
+    if size:
+        raise ValueError("the last byte is another")
+
+
+def _write_lines(lines: DataFrame, folder: str, last: bytes, *by: str) -> None:
+    """One file of ``folder`` (for each value of ``by``) from each task.
+
+    The writer of text is Spark's only one that adds no format of its own. It takes any bytes, but ends each line with a
+    separator; so this is the byte that the files end with anyhow, and lines are cut where it stands.
+    """
+    writer = lines.withColumn("line", F.col("line").cast("string")).write.mode("overwrite").partitionBy(*by)
+    writer.option("lineSep", last.decode("latin-1")).option("encoding", "ISO-8859-1").option("compression", "none").option("maxRecordsPerFile", 0).text(folder)
+
+
 def write_log(log: DataFrame, path: str, committed: DataFrame | None = None) -> None:
     """``log`` as one binary log, in order of seq; a batch stands between its marks, the closing one only if ``committed``
     (batch_id) lists it or is None.
 
-    Tasks encode blocks of seq; the driver puts them into the file one after another, as a log is one file.
+    Tasks encode blocks of seq; one task puts them into the file one after another, as a log is one file. The driver gets
+    the newest row alone.
     """
-    width = 1 << 14
+    width, held = 1 << 14, HELD
+    files = Files(log.sparkSession, path)
     done = log.select("batch_id").where("batch_id is not null").distinct() if committed is None else committed
+    newest = log.agg(F.max_by(F.struct("batch_id", "op", "key", "value"), "seq").alias("row")).first()["row"]
+    if newest is None:
+        files.write(path, [])
+        return
+    closed = newest["batch_id"] is not None and not done.where(F.col("batch_id") == newest["batch_id"]).isEmpty()
+    last = bytes([COMMIT]) if closed else encode_op(newest["op"], newest["key"].encode(), (newest["value"] or "").encode())[-1:]
     known = log.join(done.select(F.col("batch_id").alias("done_id")), F.col("batch_id") == F.col("done_id"), "left")
     # a mark stands where the batch changes: before the first row of a batch, and after its last
     whole = log.where("batch_id is not null").groupBy("batch_id").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
     marked = known.join(whole, "batch_id", "left").select("seq", "op", "key", "value", (F.col("seq") == F.col("first")).alias("opens"), ((F.col("seq") == F.col("last")) & F.col("done_id").isNotNull()).alias("closes"))
 
-    def encode(block: tuple, table: pa.Table) -> pa.Table:
-        out = bytearray()
-        for r in table.sort_by("seq").to_pylist():
-            out += bytes([BEGIN]) * bool(r["opens"]) + encode_op(r["op"], r["key"].encode(), (r["value"] or "").encode()) + bytes([COMMIT]) * bool(r["closes"])
-        return pa.table({"block": pa.array([block[0].as_py()], pa.int64()), "content": pa.array([bytes(out)], pa.binary())})
-
-    blocks = marked.withColumn("block", F.expr(f"seq div {width}")).groupBy("block").applyInArrow(encode, "block long, content binary").orderBy("block")
-    Files(log.sparkSession, path).write(path, (bytes(r["content"]) for r in blocks.toLocalIterator()))
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = lambda at, out: pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([bytes(out)], pa.binary())], names=["seq", "content"])
+        block, at, out = None, None, bytearray()
+        for batch in batches:
+            for now, seq, op, key, value, opens, closes in zip(*(c.to_pylist() for c in batch.columns)):
+                if out and (now != block or len(out) >= PIECE):  # the next block of the task need not be the next of the log
+                    yield piece(at, out)
+                    out = bytearray()
+                if not out:
+                    block, at = now, seq
+                out += bytes([BEGIN]) * bool(opens) + encode_op(op, key.encode(), (value or "").encode()) + bytes([COMMIT]) * bool(closes)
+        if out:
+            yield piece(at, out)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for line in _lines((c.as_py() for batch in batches for c in batch.column(0)), last, held):
+            yield pa.RecordBatch.from_arrays([pa.array([line], pa.binary())], names=["line"])
+
+    blocks = marked.select(F.expr(f"seq div {width}").alias("block"), "*").repartition("block").sortWithinPartitions("seq").mapInArrow(encode, "seq long, content binary")
+    folder = path + ".parts"
+    try:
+        _write_lines(blocks.repartition(1).sortWithinPartitions("seq").select("content").mapInArrow(cut, "line binary"), folder, last)
+        part = next(n for n in files.names(folder) if n.startswith("part-"))
+        files.replace(f"{folder}/{part}", path)
+    except PythonException as e:
+        if _RARE not in str(e):
+            raise
+        # a line would be too long for a row: the driver puts the pieces together
+        files.write(path, (bytes(r["content"]) for r in blocks.orderBy("seq").toLocalIterator()))
+    finally:
+        files.remove(folder)
 
 
 def write_segments(entries: DataFrame, folder: str) -> None:
-    """One file of ``folder`` for each file_no of ``entries`` (file_no, key, value, is_tombstone); a segment must fit in memory."""
+    """One file of ``folder`` for each file_no of ``entries`` (file_no, key, value, is_tombstone); a segment must fit in memory.
+
+    Tasks write them; the driver gives them their names.
+    """
+    last = b"\0"  # a segment ends with the high byte of an offset
 
     def encode(number: tuple, table: pa.Table) -> pa.Table:
         content = encode_segment([(r["key"].encode(), None if r["is_tombstone"] else r["value"].encode()) for r in table.to_pylist()])
-        return pa.table({"file_no": pa.array([number[0].as_py()], pa.int64()), "content": pa.array([content], pa.binary())})
+        lines = list(_lines((content[at : at + PIECE] for at in range(0, len(content), PIECE)), last))
+        return pa.table({"file_no": pa.array([number[0].as_py()] * len(lines), pa.int64()), "place": pa.array(range(len(lines)), pa.int64()), "line": pa.array(lines, pa.binary())})
 
-    files = Files(entries.sparkSession, folder)
-    for r in entries.groupBy("file_no").applyInArrow(encode, "file_no long, content binary").toLocalIterator():
-        files.write(f"{folder}/{r['file_no']}.sst", [bytes(r["content"])])
+    files, parts = Files(entries.sparkSession, folder), f"{folder}/parts.tmp"
+    lines = entries.groupBy("file_no").applyInArrow(encode, "file_no long, place long, line binary")
+    try:
+        _write_lines(lines.sortWithinPartitions("file_no", "place").select("file_no", "line"), parts, last, "file_no")
+        for name in files.names(parts):
+            if name.startswith("file_no="):
+                part = next(n for n in files.names(f"{parts}/{name}") if n.startswith("part-"))
+                number = name.partition("=")[2]
+                files.replace(f"{parts}/{name}/{part}", f"{folder}/{number if number.lstrip('-').isdigit() else None}.sst")
+    finally:
+        files.remove(parts)
 
 
 def write_manifest(spark: SparkSession, folder: str, levels: dict[int, list[tuple[str, int, bytes, bytes, int]]], number: int = 1) -> None:

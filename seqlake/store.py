@@ -77,13 +77,18 @@ class Files:
 
     def write(self, path: str, content: str | Iterable[bytes]) -> None:
         """Replaces ``path`` by renaming a finished file over it; of parts, one at a time is held."""
-        fresh, old = self._path(path + ".tmp"), self._path(path)
-        stream = self._fs.create(fresh, True)
+        stream = self._fs.create(self._path(path + ".tmp"), True)
         try:
             for part in [content.encode()] if isinstance(content, str) else content:
                 stream.write(bytearray(part))
         finally:
             stream.close()
+        self.replace(path + ".tmp", path)
+
+    def replace(self, fresh: str, path: str) -> None:
+        """Renames the file ``fresh`` to ``path``, over the file that may be there."""
+        fresh, old = self._path(fresh), self._path(path)
+        self._fs.mkdirs(old.getParent())
         if not self._fs.rename(fresh, old):
             self._fs.delete(old, False)
             if not self._fs.rename(fresh, old):

@@ -265,6 +265,44 @@ def test_binary_formats(spark, tmp_path):
         list(binary.decode_manifest(manifest[:-3]))
 
 
+def test_tasks_write_the_binary_files(spark, tmp_path, monkeypatch):
+    """The driver puts no content together, and each byte is as the encoders have it."""
+    ops = [(k, k // 3 if k % 11 else None, "del" if k % 5 == 0 else "put", f"ké{k % 70}", None if k % 5 == 0 else "\n\r" + chr(k) * (k % 9), k % 4) for k in range(3000)]
+    marks = [(op[1] is not None and all(o[1] != op[1] for o in ops[max(0, k - 3) : k]), op[1] is not None and op[1] % 7 != 3 and all(o[1] != op[1] for o in ops[k + 1 : k + 4])) for k, op in enumerate(ops)]
+    records = [bytes([2]) * a + binary.encode_op(op[2], op[3].encode(), (op[4] or "").encode()) + bytes([3]) * b for op, (a, b) in zip(ops, marks)]
+    frame = spark.createDataFrame(ops, LOG).repartition(5)
+    done = frame.select("batch_id").distinct().where("batch_id % 7 <> 3")
+    by_driver, write = [], binary.Files.write
+
+    def spy(self, path, content):
+        by_driver.append(path)
+        write(self, path, content)
+
+    monkeypatch.setattr(binary.Files, "write", spy)
+    monkeypatch.setattr(binary, "PIECE", 100, raising=False)
+    path = tmp_path / "log/wal.log"
+    for n in (3000, 2999, 2998, 12, 1):  # logs that end within a batch, with a mark, and with a checksum
+        binary.write_log(frame.where(F.col("seq") < n), str(path), done)
+        want = b"".join(records[:n])
+        if not marks[n - 1][1] and ops[n - 1][1] is not None and ops[n - 1][1] % 7 != 3:
+            want += bytes([3])  # the last of its batch that there is
+        assert path.read_bytes() == want and [f.name for f in path.parent.iterdir() if not f.name.startswith(".")] == ["wal.log"]
+    newest = segments.entries(frame)
+    binary.write_segments(newest, str(tmp_path / "seg"))
+    held = {k: [] for k in range(4)}
+    for r in newest.collect():
+        held[r["file_no"]].append((r["key"].encode(), None if r["is_tombstone"] else r["value"].encode()))
+    assert {f.name: f.read_bytes() for f in (tmp_path / "seg").iterdir() if not f.name.startswith(".")} == {f"{k}.sst": binary.encode_segment(v) for k, v in held.items()}
+    assert not by_driver
+
+    # with a last byte that is too rare to cut lines by, the driver writes the log
+    monkeypatch.setattr(binary, "HELD", 50, raising=False)
+    binary.write_log(frame.where(F.col("seq") < 2998), str(path), done)
+    assert by_driver == [str(path)] and binary.valid_bytes(path.read_bytes()) > 0 and [r[0] for r in binary.decode_log(path.read_bytes())][:5] == [0, 1, 2, 3, 4]
+    binary.write_log(frame.limit(0), str(path))
+    assert path.read_bytes() == b""
+
+
 def test_every_record_of_the_logs_has_a_checksum(spark):
     import zlib
 
