@@ -11,9 +11,10 @@ Formats (numbers little-endian; a string is a u32 length and its bytes):
 * manifest: u64 magic, u32 version 1, u32 levels; each level: u32 number, u32 files; each file: name, u64 size, first
   key, last key, u64 version.
 
-Keys and values are bytes, as such files are 8-bit clean. Files come through Spark's ``binaryFile`` reader, so one file is
-one row (up to 2 GB) and is decoded by one task, since a record of a log can only be found from the one before, and a
-segment begins with its end. Many files are read by many tasks.
+Keys and values are bytes, as such files are 8-bit clean. A segment or manifest comes through Spark's ``binaryFile`` reader,
+so it is one row (up to 2 GB), since a segment begins with its end. A log is read by as many tasks as Spark cuts it for, but
+decoded by one, from pieces of 1 MB, since a record can only be found from the one before. Many files are decoded by many
+tasks.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from itertools import islice
+from itertools import groupby, islice
+from operator import itemgetter
 from pathlib import PurePosixPath
 
 import pyarrow as pa
@@ -67,11 +69,8 @@ class _Cursor:
     def u64(self) -> int:
         return _U64.unpack(self.take(8))[0]
 
-    def string(self, most: int | None = None) -> bytes:
-        n = self.u32()
-        if most is not None and n > most:
-            raise ValueError("longer than allowed")
-        return self.take(n)
+    def string(self) -> bytes:
+        return self.take(self.u32())
 
 
 def encode_op(op: str, key: bytes, value: bytes = b"") -> bytes:
@@ -86,25 +85,59 @@ def encode_batch(ops: list[tuple[str, bytes, bytes]]) -> bytes:
     return bytes([BEGIN]) + b"".join(encode_op(*op) for op in ops) + bytes([COMMIT])
 
 
-def _records(content: bytes) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """(end, kind, key, value) of each record up to the first bad one."""
-    cursor = _Cursor(content)
-    while cursor.at < len(content):
-        start, key, value = cursor.at, b"", b""
+def _gathered(parts: Iterable[bytes], least: int) -> Iterator[bytes]:
+    """``parts`` in larger ones, of ``least`` bytes or more; the last may be smaller."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size >= least:
+            yield b"".join(held)
+            held, size = [], 0
+    if held:
+        yield b"".join(held)
+
+
+#: The longest record of a log.
+RECORD = 13 + LIMITS.key_bytes + LIMITS.value_bytes
+
+
+def _records(content: bytes | Iterable[bytes]) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """(end, kind, key, value) of each record up to the first bad one. Of ``content`` in parts, few are held at a time."""
+    parts = _gathered([content] if isinstance(content, bytes) else content, RECORD)
+    held, at, gone, more = b"", 0, 0, True
+    while True:
+        while more and len(held) - at < RECORD:  # the next record may go beyond what is held
+            part = next(parts, None)
+            more = part is not None
+            if more:
+                held, gone, at = held[at:] + part, gone + at, 0
+        if at == len(held):
+            return
+        start, key, value = at, b"", b""
         try:
-            kind = cursor.u8()
-            if kind not in (PUT, DELETE, BEGIN, COMMIT):
-                return
+            kind = held[at]
+            at += 1
             if kind in (PUT, DELETE):
-                key, value = cursor.string(LIMITS.key_bytes), cursor.string(LIMITS.value_bytes)
-                if not key or zlib.crc32(content[start : cursor.at]) != cursor.u32():
+                n = _U32.unpack_from(held, at)[0]
+                if not 1 <= n <= LIMITS.key_bytes:
+                    return
+                key, at = held[at + 4 : at + 4 + n], at + 4 + n
+                n = _U32.unpack_from(held, at)[0]
+                if n > LIMITS.value_bytes:
+                    return
+                value, at = held[at + 4 : at + 4 + n], at + 4 + n
+                if zlib.crc32(held[start:at]) != _U32.unpack_from(held, at)[0]:
                     return
-        except (EOFError, ValueError):
+                at += 4
+            elif kind not in (BEGIN, COMMIT):
+                return
+        except struct.error:  # cut short
             return
-        yield cursor.at, kind, key, value
+        yield gone + at, kind, key, value
 
 
-def decode_log(content: bytes) -> Iterator[tuple[int, int | None, str, bytes, bytes | None]]:
+def decode_log(content: bytes | Iterable[bytes]) -> Iterator[tuple[int, int | None, str, bytes, bytes | None]]:
     """(seq, batch_id, op, key, value) of the longest valid prefix, operations of committed batches only.
 
     seq counts all operations, so it stays the same when a batch turns out to be unfinished. A batch that begins inside
@@ -126,7 +159,7 @@ def decode_log(content: bytes) -> Iterator[tuple[int, int | None, str, bytes, by
                 waiting.append(row)
 
 
-def valid_bytes(content: bytes) -> int:
+def valid_bytes(content: bytes | Iterable[bytes]) -> int:
     """Where a log can be cut so that only whole records remain and no batch stays open."""
     end, inside = 0, False
     for at, kind, _, _ in _records(content):
@@ -213,13 +246,48 @@ def _decoded(spark: SparkSession, path: str, names: str, schema: str, decode: Ca
     return files.mapInArrow(run, schema)
 
 
-#: Decoded rows that a task hands on at a time.
-ROWS = 1 << 14
+#: Decoded rows, and bytes of a file, that a task hands on at a time.
+ROWS, PIECE = 1 << 14, 1 << 20
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """seq, batch_id, op, key, value of the valid prefix of a log."""
-    return _decoded(spark, path, "*.log", "seq long, batch_id long, op string, key binary, value binary", lambda _, content: decode_log(content))
+    """seq, batch_id, op, key, value of the valid prefix of a log.
+
+    The reader of text takes any bytes, and cuts a file. Lines end at the first byte of a byte order mark, as it would drop
+    such a mark from the start of a file. Without that byte a log is one line, and a row as long as a file at most.
+    """
+    schema, end = "seq long, batch_id long, op string, key binary, value binary", b"\xef"
+    kinds, read = to_arrow_schema(StructType.fromDDL(schema)), spark.read.option("pathGlobFilter", "*.log")
+    lines = read.option("lineSep", end.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        return (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (name, size, start), some in groupby(rows(batches), itemgetter(0, 1, 2)):
+            for place, piece in enumerate(_gathered((line + end for *_, line in some), PIECE)):
+                yield pa.RecordBatch.from_pydict({"path": [name], "size": [size], "start": [start], "place": [place], "piece": [piece]})
+
+    def content(size: int, some: Iterable[tuple]) -> Iterator[bytes]:
+        for *_, piece in some:
+            yield piece[:size]  # the last line may have had no end
+            size -= len(piece)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, size), some in groupby(rows(batches), itemgetter(0, 1)):
+            part, held = [], 0
+            for row in decode_log(content(size, some)):
+                part.append(row)
+                held += len(row[3]) + len(row[4] or b"")
+                if len(part) == ROWS or held >= 16 * PIECE:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, field.type) for field, c in zip(kinds, zip(*part))], names=kinds.names)
+                    part, held = [], 0
+            if part:
+                yield pa.RecordBatch.from_arrays([pa.array(c, field.type) for field, c in zip(kinds, zip(*part))], names=kinds.names)
+
+    named = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
+    pieces = named.mapInArrow(gather, "path string, size long, start long, place long, piece binary")
+    return pieces.repartition("path").sortWithinPartitions("path", "start", "place").mapInArrow(decode, schema)
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
@@ -239,8 +307,8 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return _decoded(spark, f"{folder}/{name}", name, "level int, filename string, file_size long, first_key binary, last_key binary, version long", lambda _, content: decode_manifest(content))
 
 
-#: Bytes that a task hands on at a time, and the most that it holds while it looks for a file's last byte.
-PIECE, HELD = 1 << 20, 1 << 28
+#: The most bytes that a task holds while it looks for a file's last byte.
+HELD = 1 << 28
 _RARE = "the last byte is too rare"
 
 

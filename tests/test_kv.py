@@ -303,6 +303,36 @@ def test_tasks_write_the_binary_files(spark, tmp_path, monkeypatch):
     assert path.read_bytes() == b""
 
 
+def test_a_log_is_read_in_pieces(spark, tmp_path, monkeypatch):
+    """Logs that Spark cuts anywhere give what the whole content gives; no file is read as one row."""
+    dice, logs = random.Random(3), {}
+    for k in range(6):
+        ops = [("put", dice.randbytes(dice.randint(1, 9)), dice.choice((b"", b"\xef\xbb\xbf", b"\xef", bytes(range(256)), b"\0" * 5000))) for _ in range(300)]
+        logs[f"{k}.log"] = b"".join(binary.encode_batch(ops[n : n + 3]) if dice.random() < 0.5 else binary.encode_op(*ops[n]) for n in range(300))
+    logs["1.log"] = logs["1.log"][:-1]  # torn
+    logs["2.log"] = b"\xef\xbb\xbf" + logs["2.log"]  # not a record, though readers of text leave such bytes out
+    logs["3.log"] += bytes([2]) + b"\xef"
+    logs["4.log"] = binary.encode_op("put", b"k" * (1 << 20), b"v" * (1 << 20)) + logs["4.log"]
+    logs["empty.log"] = b""
+    for name, content in logs.items():
+        (tmp_path / name).write_bytes(content)
+    want = [row for content in logs.values() for row in binary.decode_log(content)]
+    formats, reader = [], type(spark.read)
+    plain = reader.format
+    monkeypatch.setattr(reader, "format", lambda self, name: formats.append(name) or plain(self, name))
+    monkeypatch.setattr(binary, "PIECE", 1000, raising=False)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7777")
+    try:
+        rows = [(r[0], r[1], r[2], bytes(r[3]), r[4] and bytes(r[4])) for r in binary.read_log(spark, str(tmp_path)).collect()]
+        alone = binary.read_log(spark, str(tmp_path / "4.log")).count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    key = lambda row: tuple((v is not None, v) for v in row)
+    assert len(rows) > 1000 and sorted(rows, key=key) == sorted(want, key=key) and alone == len(list(binary.decode_log(logs["4.log"])))
+    assert "binaryFile" not in formats
+
+
 def test_every_record_of_the_logs_has_a_checksum(spark):
     import zlib
 
